@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: module of the function that has its name
 MODULES = {
     "op6_byte_bpe": "bpe",
+    "op10_best_fit_packing": "packing",
 }
 
 QUERIES = {name: getattr(import_module(f"corpusloom.llm.{module}"), name) for name, module in MODULES.items()}
