@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: module of the function that has its name
 MODULES = {
     "op6_byte_bpe": "bpe",
+    "op7_media_chunks": "media",
     "op10_best_fit_packing": "packing",
 }
 
