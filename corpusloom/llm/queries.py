@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: query: module of the function that has its name
+#: query: module of the function that has its name, and of its SQL if any
 MODULES = {
+    "op3_warc_index": "warc",
     "op6_byte_bpe": "bpe",
     "op7_media_chunks": "media",
     "op10_best_fit_packing": "packing",
 }
 
-QUERIES = {name: getattr(import_module(f"corpusloom.llm.{module}"), name) for name, module in MODULES.items()}
+_found = {name: import_module(f"corpusloom.llm.{module}") for name, module in MODULES.items()}
 
-SQL: dict[str, str] = {}
+QUERIES = {name: getattr(module, name) for name, module in _found.items()}
+
+SQL: dict[str, str] = {name: module.SQL for name, module in _found.items() if hasattr(module, "SQL")}
