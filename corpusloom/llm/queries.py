@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_language_id": "language",
     "op3_warc_index": "warc",
+    "op4_minhash_near_dup": "near_dup",
     "op6_byte_bpe": "bpe",
     "op7_media_chunks": "media",
     "op10_best_fit_packing": "packing",
