@@ -11,6 +11,7 @@ MODULES = {
     "op4_minhash_near_dup": "near_dup",
     "op6_byte_bpe": "bpe",
     "op7_media_chunks": "media",
+    "op8_private_data": "pii",
     "op10_best_fit_packing": "packing",
 }
 
