@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.bpe import portions
 from corpusloom.llm.common import table
@@ -35,8 +36,6 @@ UNKNOWN = "und"
 #: Vectors that are compared at a time.
 ROWS = 256
 
-RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
-
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
@@ -173,16 +172,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """RESULT per row, repeated rows too; lang_pred is UNKNOWN, score 0 and rejected true for a text that is null or has no letter."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected per row, repeated rows too; lang_pred is UNKNOWN, score 0 and rejected true for a text that is null or has no letter.
+
+    With keep, those columns of the documents come instead of doc_id and held_out, before lang_pred, score and rejected.
+    """
+    given = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out")]
+    rows = docs.select(*given, F.col(text_col).cast("string").alias("corpusloom_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(model.predict(batch.column(2).to_pylist()))
+            found = list(model.predict(batch.column(batch.num_columns - 1).to_pylist()))
             columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ MODULES = {
     "op6_byte_bpe": "bpe",
     "op7_media_chunks": "media",
     "op8_private_data": "pii",
+    "op9_exact_top_k": "topk",
     "op10_best_fit_packing": "packing",
 }
 
