@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query: module of the function that has its name, and of its SQL if any
 MODULES = {
+    "op1_license_scan": "licenses",
     "op2_language_id": "language",
     "op3_warc_index": "warc",
     "op4_minhash_near_dup": "near_dup",
