@@ -10,6 +10,7 @@ MODULES = {
     "op2_language_id": "language",
     "op3_warc_index": "warc",
     "op4_minhash_near_dup": "near_dup",
+    "op5_chat_format": "chat",
     "op6_byte_bpe": "bpe",
     "op7_media_chunks": "media",
     "op8_private_data": "pii",
