@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
-NOT_WS = r"[^\t\n\x0B\f\r    -     　﻿]"
+#: The code points of white space beside the ASCII ones.
+SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+_CLASS = r"\t\n\x0B\f\r " + "".join(f"\\u{c:04X}" for c in SPACES)
+WS = f"[{_CLASS}]"
+NOT_WS = f"[^{_CLASS}]"
 QUOTES = "\"'“”"
 
 
