@@ -12,7 +12,9 @@ sequences short, so the loss against one global packing is a few sequences per G
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ WEIGHTS = (1.0, 0.05, 0.05)
 #: Pieces that one task packs.
 GROUP = 8192
 #: Words that a worker remembers; when full, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: The id that ends each document.
 END_ID = 0
 
@@ -58,8 +60,13 @@ class WordTokenizer:
             words.clear()
             missing = set().union(*units)
         order = list(missing)
-        for w, x in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-            words[w] = np.array(x.ids, "<u4").tobytes()
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = array("I", x.ids)
+                if sys.byteorder != "little":
+                    ids.byteswap()
+                words[w] = ids.tobytes()
         out = [b"".join(map(words.__getitem__, u)) for u in units]
         for w in order:
             if len(w) > 64:
