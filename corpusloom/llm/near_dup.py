@@ -5,15 +5,16 @@ the set's hashes under each of REGISTERS hash functions, on an exponential scale
 truncated to a byte; the sketch of a union is the greater register of each pair. Two sets agree in a
 register with a probability of about their similarity, so BANDS bands of WIDTH registers collide
 nearly always at 0.8: a pair with similarity s is missed with probability (1 - s**WIDTH)**BANDS,
-1e-7 at 0.8. Pairs that share a band are estimated by the maximum of the joint likelihood of their
+7e-6 at 0.8, 3e-8 at 0.85. Pairs that share a band are estimated by the maximum of the joint likelihood of their
 registers, given both set sizes, and confirmed on full sets if the estimate is within five standard
 errors of the threshold.
 
 At scale: copies of a set become one class first, by an aggregation that combines before the shuffle.
-A band's members are compared with its smallest member, not with each other: as many pairs as
-members. Components of the confirmed links follow by alternating stars. Only in bands that still hold
-several components are members compared across components, by their sketches, in blocks of BLOCK by
-BLOCK, and only estimates that pass are confirmed: the closest per member first, then all others.
+A band's members are compared with its smallest member, not with each other, and each with the
+STARS of those that it meets in most bands: as many pairs as members, whatever the groups. Components of the confirmed links follow by alternating stars. Only in bands that still hold
+several components are members compared across components, by finer sketches, in blocks of BLOCK by
+BLOCK, and only estimates that pass are confirmed: the closest per member and component first, then
+all others.
 Joins on hot keys are sort-merge joins that Spark splits. Every round is a table in the shared folder.
 """
 
@@ -24,19 +25,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise, table
 
 #: Words of a shingle and least similarity in hundredths, where a contract doesn't say otherwise.
 WORDS, LEAST = 5, 80
-BANDS, WIDTH, BASE = 40, 5, 1.1
-REGISTERS = BANDS * WIDTH
+BANDS, WIDTH, BASE = 30, 5, 1.1
+#: Registers that estimate; the bands take the first BANDS * WIDTH of them.
+REGISTERS = 200
+#: Registers of the finer sketches of classes whose bands hold several components.
+FINE = 1000
 #: Standard errors below the threshold at which an estimate still counts.
 ERRORS = 5
-#: Members of a band that are compared at a time, and the closest per member that are confirmed first.
-BLOCK, CLOSEST = 512, 2
+#: Smallest members of its bands that a class is confirmed with at first.
+STARS = 2
+#: Members of a band that are compared at a time, and the closest per member and component that are confirmed, round by round; at last all.
+BLOCK, ROUNDS = 512, (2, None)
 
 SKETCHES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary"
 U64 = np.uint64
@@ -87,12 +93,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Registers of a non-empty set of hashes."""
+def sketch(found: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """Registers of a non-empty set of hashes; fewer registers are the first of more."""
     x = (found >> U64(32)).astype(np.uint32)
-    a = mix(np.arange(1, REGISTERS + 1, dtype=U64))
+    a = mix(np.arange(1, registers + 1, dtype=U64))
     odd, add = (a >> U64(32)).astype(np.uint32) | np.uint32(1), a.astype(np.uint32)
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    least = np.full(registers, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 1024):
         h = x[at : at + 1024, None] * odd + add
         h ^= h >> np.uint32(16)
@@ -101,26 +107,28 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)) + 8, 0, 255).astype(np.uint8)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+def estimate(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray, registers: int) -> np.ndarray:
     """Similarity of the greatest joint likelihood, to 0.01. more, less: how many of the first set's registers are greater, smaller."""
     u = n1 / (n1 + n2)
     top = np.minimum(u, 1 - u) / np.maximum(u, 1 - u)
     j = np.linspace(0, 1, 101)[None, :] * top[:, None]
     p = lambda x: np.clip(-np.log(1 - np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE), 1e-12, 1)
     a, b = p(u[:, None] - (1 - u)[:, None] * j), p((1 - u)[:, None] - u[:, None] * j)
-    score = more[:, None] * np.log(a) + less[:, None] * np.log(b) + (REGISTERS - more - less)[:, None] * np.log(np.clip(1 - a - b, 1e-12, 1))
+    score = more[:, None] * np.log(a) + less[:, None] * np.log(b) + (registers - more - less)[:, None] * np.log(np.clip(1 - a - b, 1e-12, 1))
     return j[np.arange(len(j)), score.argmax(1)]
 
 
 def passes(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of sketches may reach the threshold, and their estimates."""
-    out = np.zeros(len(n1))
+    out, registers, s = np.zeros(len(n1)), a.shape[1], least / 100
+    lowest = s - ERRORS * (s * (1 - s) / registers) ** 0.5
     near = np.flatnonzero(100 * np.minimum(n1, n2) >= least * np.maximum(n1, n2))
+    # registers agree at least as often as the sets are similar
+    near = near[(a[near] == b[near]).sum(1) >= lowest * registers]
     if len(near):
         x, y = a[near], b[near]
-        out[near] = estimate((x > y).sum(1), (x < y).sum(1), n1[near].astype(float), n2[near].astype(float))
-    s = least / 100
-    return out >= s - ERRORS * (s * (1 - s) / REGISTERS) ** 0.5, out
+        out[near] = estimate((x > y).sum(1), (x < y).sum(1), n1[near].astype(float), n2[near].astype(float), registers)
+    return out >= lowest, out
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -146,15 +154,15 @@ def bands(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = matrix(batch.column(1)).reshape(-1, BANDS, WIDTH).astype(np.int64)
+            s = matrix(batch.column(1))[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).astype(np.int64)
             key = (np.arange(BANDS, dtype=np.int64) << 40) + (s << (8 * np.arange(WIDTH))).sum(2)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
 
     return classes.select("rep", "sketch").mapInArrow(run, "band bigint, rep bigint")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+def matrix(column: pa.Array, registers: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, registers)
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -167,7 +175,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -187,10 +195,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, least: int, id_col: s
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = materialise(texts.join(asked, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = materialise(texts.join(asked.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
     side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,31 +221,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("rep"), F.col("m").alias("component")).union(edges.select(F.col("m").alias("rep"), F.col("m").alias("component"))).groupBy("rep").agg(F.min("component").alias("component"))
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, least: int, closest: int | None) -> DataFrame:
-    """Untested pairs (a < b) of different components in one band whose sketches may reach the threshold; the closest per member and block, or all."""
-    own = members.join(labels, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = own.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(mixed, "band").join(classes.select("rep", "sketch", "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "sketch", "n_shingles")
+def mixed_bands(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the bands that hold several: the largest (n, component), the size."""
+    own = members.join(labels.hint("merge"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
+    return own, parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+
+
+def fine_sketches(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, n_shingles and a sketch of FINE registers of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s, FINE).tobytes() for s in found], pa.binary())], names=["rep", "n_shingles", "sketch"])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(reps.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(run, "rep bigint, n_shingles bigint, sketch binary")
+
+
+def across(members: DataFrame, labels: DataFrame, fine: DataFrame, tested: DataFrame, least: int, closest: int | None) -> DataFrame:
+    """Untested pairs (a < b) of different components in one band whose sketches may reach the threshold; the closest per member and component, or all.
+
+    A band's members outside its largest component meet those in it, and each other: the largest
+    component's own members don't meet.
+    """
+    own, mixed = mixed_bands(members, labels)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("majors"), blocks(F.col("size") - F.col("top.n")).alias("minors"))
+    rows = materialise(own.join(mixed, "band").join(fine.hint("merge"), "rep"), "mixed")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["rep", "component", "sketch", "n_shingles"]
+    major = rows.where("component = major").select("band", F.lit(0).alias("kind"), block("majors").alias("i"), each("minors").alias("j"), F.lit(False).alias("minor"), *carried)
+    minor = rows.where("component <> major")
+    outer = minor.select("band", F.lit(0).alias("kind"), each("majors").alias("i"), block("minors").alias("j"), F.lit(True).alias("minor"), *carried)
+    inner = minor.withColumn("o", each("minors")).select("band", F.lit(1).alias("kind"), F.least(block("minors"), "o").alias("i"), F.greatest(block("minors"), "o").alias("j"), F.lit(True).alias("minor"), *carried)
 
     def run(key: tuple, found: pa.Table) -> pa.Table:
         found = found.sort_by("rep")
         rep, component, n = (found[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        s = matrix(found["sketch"].combine_chunks() if found.num_rows else pa.array([], pa.binary()))
-        out_a, out_b = [], []
-        for i in range(len(rep) - 1):
-            later = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-            if not len(later):
+        is_minor, inside = found["minor"].to_numpy(), key[1].as_py() == 1
+        s = matrix(found["sketch"], FINE)
+        out: list[tuple] = []
+        for i in np.flatnonzero(is_minor).tolist():
+            ok = component != component[i]
+            ok &= np.arange(len(rep)) > i if inside else ~is_minor
+            others = np.flatnonzero(ok)
+            if not len(others):
                 continue
-            ok, score = passes(np.broadcast_to(s[i], (len(later), REGISTERS)), s[later], np.full(len(later), n[i]), n[later], least)
-            later, score = later[ok], score[ok]
-            if closest is not None and len(later) > closest:
-                later = later[np.argsort(-score, kind="stable")[:closest]]
-            out_a += [rep[i]] * len(later)
-            out_b += rep[later].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return dealt.groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct().join(tested, ["a", "b"], "left_anti")
+            good, score = passes(np.broadcast_to(s[i], (len(others), FINE)), s[others], np.full(len(others), n[i]), n[others], least)
+            others, score = others[good], score[good]
+            if closest is not None and len(others) > closest:
+                order = np.lexsort((rep[others], -score, component[others]))
+                others, score = others[order], score[order]
+                starts = np.flatnonzero(np.concatenate([[True], component[others][1:] != component[others][:-1]]))
+                place = np.arange(len(others)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(others)]])))
+                others, score = others[place < closest], score[place < closest]
+            out += [(int(rep[i]), int(rep[j]), int(component[j]), float(e)) for j, e in zip(others, score, strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["x", "y", "component", "score"])
+
+    dealt = major.unionByName(outer).unionByName(inner)
+    pairs = dealt.groupBy("band", "kind", "i", "j").applyInArrow(run, "x bigint, y bigint, component bigint, score double").distinct()
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "component", "score").join(tested, ["a", "b"], "left_anti")
+    if closest is not None:
+        w = Window.partitionBy("x", "component").orderBy(F.desc("score"), "a", "b")
+        pairs = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= closest)
+    return pairs.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,14 +304,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_
     classes = materialise(classes, "classes")
     banded = bands(classes)
     centres = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last").select("band", "centre")
-    members = materialise(banded.join(centres, "band"), "members")
-    pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    members = materialise(banded.join(centres.hint("merge"), "band"), "members")
+    # of the smallest members of its bands, a class is compared with those that it meets most often
+    pairs = members.where("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("place") <= STARS).select("a", "b")
     tested = materialise(likely(pairs, classes, least), "pairs")
     links = materialise(confirm(tested, docs, words, least, id_col, text_col), "links")
     labels = materialise(components(links), "labels")
     members = members.select("band", "rep")
-    for closest in (CLOSEST, None):
-        more = materialise(across(members, labels, classes, tested, least, closest), "pairs")
+    own, mixed = mixed_bands(members, labels)
+    # components only grow, so that later rounds need no other classes
+    fine = materialise(fine_sketches(own.join(mixed, "band").select("rep").distinct(), docs, words, id_col, text_col), "fine")
+    for closest in ROUNDS:
+        more = materialise(across(members, labels, fine, tested, least, closest), "pairs")
         if more.isEmpty():
             continue
         found = materialise(confirm(more, docs, words, least, id_col, text_col), "links")
@@ -268,8 +324,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_
         if not found.isEmpty():
             links = links.union(found)
             labels = materialise(components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(found)), "labels")
-    whole = classes.select("h1", "h2", "n_shingles", "rep").join(labels, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = one.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
+    whole = classes.select("h1", "h2", "n_shingles", "rep").join(labels.hint("merge"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    out = one.select("doc_id", "n_shingles", "h1", "h2").join(whole.hint("merge"), ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
