@@ -38,9 +38,12 @@ class Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        top = self.open[-1].tag
-        if top in CLOSES.get(tag, ()):
-            self.open.pop()
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in CLOSES.get(tag, ()):
+                del self.open[k:]
+                break
+            if self.open[k].tag in BLOCKS or self.open[k].tag == "li":
+                break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < 400:

@@ -36,7 +36,7 @@ def lexicon(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     is_entry = line.rlike(r"^###[ \t]+\S")
     found = sections(docs, is_entry, key, text, {"theme": theme})
     body = F.regexp_replace(F.regexp_replace(F.col("body"), r"(?m)^##[ \t]+.*$", ""), r"(?m)^---[ \t]*$", "")
-    origin = F.element_at(F.regexp_extract_all(body, F.lit(r"(?im)^\*Origin\.\*[ \t]*(.+)$"), F.lit(1)), -1)
+    origin = F.try_element_at(F.regexp_extract_all(body, F.lit(r"(?im)^\*Origin\.\*[ \t]*(.+)$"), F.lit(1)), F.lit(-1))
     see = F.regexp_extract_all(body, F.lit(r"(?im)^\*See also:\*[ \t]*(.+)$"), F.lit(1))
     names = F.filter(F.transform(F.flatten(F.transform(see, lambda s: F.split(s, "[,;]"))), lambda n: T.trim(F.regexp_replace(n, "[.\"']+\\z", ""))), lambda n: n != "")
     parts = F.split(F.regexp_replace(F.col("heading"), r"^###[ \t]+", ""), rf"{T.WS}+·{T.WS}+")

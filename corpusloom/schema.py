@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TERMS = T.StructType.fromDDL(
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def struct(fields: str) -> T.StructType:
+    """Of "name kind, ..."; unlike the DDL parser it needs no session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+TERMS = struct(
     "slug string, letter string, title string, subtitle string, theme string, authored_by string, origin string, source string, related array<string>, provenance array<string>, "
     "tags array<string>, link string, link_label string, related_names array<string>, body_html string, body_text string, ord bigint"
 )
-SOURCES = T.StructType.fromDDL(
-    "slug string, title string, subtitle string, collection string, kind string, `order` int, date string, author string, original_url string, excerpt string, word_count int, "
+SOURCES = struct(
+    "slug string, title string, subtitle string, collection string, kind string, order int, date string, author string, original_url string, excerpt string, word_count int, "
     "tags array<string>, related array<string>, body_md string, ord bigint"
 )
 #: Values where a row has none; those of a site's author are parameters.

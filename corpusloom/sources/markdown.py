@@ -13,7 +13,7 @@ def read_folder(spark: SparkSession, path: str, prefix: str = "", skip_underscor
     """slug, text, ord: files *.md, in byte order of their names with the ending; a missing folder, if optional, gives no rows."""
     if optional and not exists(spark, path):
         return spark.createDataFrame([], "slug string, text string, ord bigint")
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"{prefix}*.md").text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    rows = spark.read.option("pathGlobFilter", f"{prefix}*.md").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     if skip_underscore:
         rows = rows.where(~F.startswith("name", F.lit("_")))
     name = F.try_url_decode(F.col("name"))
