@@ -13,6 +13,7 @@ Expansion runs over the vocabulary, never the postings; postings then meet the f
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return rows.groupBy("field", "token", "doc").agg(F.count("*").alias("tf"))
 
 
+def index(docs: DataFrame) -> DataFrame:
+    """The postings, built when first used and kept: every query reads them several times."""
+    return postings(docs).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def field_lengths(posts: DataFrame) -> DataFrame:
     """(field, doc, length)."""
     return posts.groupBy("field", "doc").agg(F.count("*").alias("length"))
@@ -87,7 +93,7 @@ def scores(posts: DataFrame, n_docs: int | Column, expanded: DataFrame, boosts:
 
 def search(docs: DataFrame, query: str, k: int = 40, prefix: bool = True, fuzzy: bool = True, posts: DataFrame | None = None) -> DataFrame:
     """The k best: rank, id, title, badge, url, score, snippet. Ties go to the smaller id; an empty query finds nothing."""
-    posts = postings(docs) if posts is None else posts
+    posts = index(docs) if posts is None else posts
     n_tokens = docs.sparkSession.range(1).select(F.size(F.array_distinct(tokenize(F.lit(query))))).first()[0]
     found = scores(posts, docs.count(), expand(posts, query, prefix, fuzzy)).where(F.col("matched") == n_tokens).where(F.lit(n_tokens > 0))
     best = found.orderBy(F.desc("score"), "doc").limit(k)

@@ -414,7 +414,7 @@ SELECT id, score FROM r ORDER BY score DESC, id LIMIT 40"""
 
 def _search(spark, sf, text, prefix, fuzzy):
     docs = corpus(spark, sf)
-    posts = search.postings(docs)
+    posts = search.index(docs)
     n = docs.count()
     s = search.scores(posts, n, search.expand(posts, text, prefix, fuzzy)).where(F.col("matched") == len(text.split()))
     return s.select(F.col("doc").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(40)
