@@ -141,7 +141,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     pairs = rows.select("entity", "term", "key", "context").distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_et")).where(F.col("contexts") >= CONTEXTS)
     pairs = materialise(pairs, "terms")
     frequency = with_text.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text")), NOT_WORD))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    frequency = frequency.join(pairs.select("term").distinct(), "term", "left_semi")
+    # an inner join stays above the aggregation: a semi-join would go below it and give a row per occurrence
+    frequency = frequency.join(pairs.select("term").distinct(), "term")
     info = -F.log2(F.col("n_e") / F.lit(n))
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("df", "n_et")))
     share = F.when(info > 0, pmi / info).otherwise(0.0)
