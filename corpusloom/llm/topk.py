@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = given.join(asked, ["width", "dealt"]).select("width", "ids", "x", "q_ids", "q", "query_block")
+    pairs = given.join(asked.hint("merge"), ["width", "dealt"]).select("width", "ids", "x", "q_ids", "q", "query_block")
     best = pairs.mapInArrow(run, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
