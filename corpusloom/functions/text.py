@@ -103,9 +103,9 @@ def word(pattern: str) -> str:
     return rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
 
 
-#: Subjects that a text is tagged with, by what it mentions.
+#: Subjects that a text is tagged with, by what it mentions. Those of a site's own series are for the caller to add.
 HINTS = [
-    ("silicon child", "Silicon Children"), (word("ai") + "|artificial intelligence|llm|claude|gpt", "AI"), ("meditat", "meditation"), ("blog", "blogging"),
+    (word("ai") + "|artificial intelligence|llm|claude|gpt", "AI"), ("meditat", "meditation"), ("blog", "blogging"),
     ("monetar|mmt|economics|money", "economics"), ("robot|automat", "automation"), ("bias|debias", "rationality"),
 ]
 

@@ -188,7 +188,7 @@ def html_to_markdown_images(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.html_to_markdown(F.col("html"), True).alias("md"))
 
 
-_tags = [("silicon child", "Silicon Children"), (r"\bai\b|artificial intelligence|llm|claude|gpt", "AI"), ("meditat", "meditation"), ("blog", "blogging"), ("monetar|mmt|economics|money", "economics"), ("robot|automat", "automation"), ("bias|debias", "rationality"), ("tion", "tion"), ("the", "the")]
+_tags = [(r"\bai\b|artificial intelligence|llm|claude|gpt", "AI"), ("meditat", "meditation"), ("blog", "blogging"), ("monetar|mmt|economics|money", "economics"), ("robot|automat", "automation"), ("bias|debias", "rationality"), ("tion", "tion"), ("the", "the")]
 
 
 @query(f"""WITH {S}, x AS (SELECT slug, list_filter([collection, {', '.join(f"CASE WHEN regexp_matches(lower(title || ' ' || text), '{p}') THEN '{tag}' END" for p, tag in _tags)}], lambda v: v IS NOT NULL) AS tags FROM s)
