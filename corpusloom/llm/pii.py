@@ -3,20 +3,20 @@
 Everything is DataFrame functions. Base spans come from four patterns, written with possessive
 quantifiers and look-behinds that leave their leftmost matches as they are but keep the time linear.
 
-A base value is a protected entity e. A term t is a word within WINDOW characters of it. Over all
-documents, with p as shares of documents, t discloses
+A base value is a protected entity e. A term t is a word that stands in a document with it, however far
+away. Over all documents, with p as shares of documents, t discloses
 
     d(e, t) = PMI(e, t) / IC(e) = log(p(e, t) / (p(e) p(t))) / -log p(e)
 
-of e: 1 if t occurs only beside e, 0 if they are independent. Near an entity, a term of at least
-GENERALISE is replaced by its shape and one of at least REMOVE is removed, if CONTEXTS different
-surroundings of e hold it: copies of one passage are one surrounding, so a word that stands beside an
-address only because a document was copied reveals nothing.
+of e: 1 if t occurs only beside e, 0 if they are independent. p(t) counts UNSEEN documents more than hold
+t, as if it stood there without e: what few documents say weighs less, and entities that occur once have
+an estimate too. In a document of an entity, a term of at least GENERALISE is replaced by its shape and one
+of at least REMOVE is removed. Equal texts with personal data count as one document everywhere, so a
+word that stands beside an address only because a document was copied reveals no more than in one copy.
 
-At scale: texts are not shuffled. Document frequencies of all words are aggregated within tasks first;
-entities and the words near them are the few rows of documents with personal data. Counts of a hot
-entity combine before the shuffle, and its rows meet their verdicts in a sort-merge join that Spark
-splits where they are many.
+At scale: only texts with personal data are shuffled. Document frequencies of all words are aggregated
+within tasks first. Of a document's entities and words, only those pairs become rows that would exceed
+GENERALISE if every document of the rarer of the two held both; no other pair can, so none is missed.
 """
 
 from __future__ import annotations
@@ -38,12 +38,12 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = list(PATTERNS)
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 
-#: Characters on each side of an entity, different surroundings, and shares of an entity's information.
-WINDOW, CONTEXTS, GENERALISE, REMOVE = 64, 3, 0.8, 0.95
+#: Documents that a term counts more than it is in, and shares of an entity's information.
+UNSEEN, GENERALISE, REMOVE = 0.5, 0.8, 0.95
 #: Longest word that is a term.
 LONGEST = 64
-WORD = r"[\p{L}\p{N}_]+"
-NOT_WORD = r"[^\p{L}\p{N}_]+"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 
 SPAN = "struct<start:int,ord:int,end:int,value:string>"
 
@@ -106,55 +106,80 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["ord"] + 1), s["start"], s["end"])), ",")
 
 
+def copy_of(text: Column) -> Column:
+    """Equal for equal texts only."""
+    return F.concat_ws(":", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
+
+
 def key_of(id_: Column, text: Column) -> Column:
     """Equal for rows of equal id and text only."""
-    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), copy_of(text))
 
 
 def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id, base spans and, for each, what stands before and after it; in the shared folder."""
+    """key, doc_id, copy, base spans and, where there are any, the text; in the shared folder."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", key_of(F.col("doc_id"), F.col("text")).alias("key"), base_spans(F.col("text")).alias("base"))
-    near = lambda s: F.struct(F.greatest(s["start"] - WINDOW, F.lit(0)).alias("from"), F.substring(F.col("text"), F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))).alias("left"), F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW)).alias("right"))
-    return materialise(rows.select("key", "doc_id", "base", F.transform("base", near).alias("near")), "base")
+    rows = rows.select("doc_id", "text", key_of(F.col("doc_id"), F.col("text")).alias("key"), copy_of(F.col("text")).alias("copy"), base_spans(F.col("text")).alias("base"))
+    return materialise(rows.select("key", "doc_id", "copy", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), NOT_WORD))
+
+
+def places(text: Column, terms: Column) -> Column:
+    """(start, end, disclosed) of the words that are a key of the map, in order; one walk over the text."""
+    parts = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    none = F.array().cast("array<struct<start:int,end:int,disclosed:double>>")
+
+    def walk(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
+        share = F.element_at(terms, F.lower(x["word"]))
+        here = F.array(F.struct(start.alias("start"), end.alias("end"), share.alias("disclosed")))
+        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(acc["found"], here)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), walk, lambda acc: acc["found"])
 
 
-def words_at(text: Column, offset: Column) -> Column:
-    """(term, start, end) of the words of a short text that stands at an offset."""
-    return F.transform(located(text, WORD), lambda x: F.struct(F.lower(x["value"]).alias("term"), (x["start"] + offset).alias("start"), (x["start"] + offset + F.length(x["value"])).alias("end")))
+def share_of(n_et: Column, n_e: Column, df: Column, n: float) -> Column:
+    """d(e, t) by numbers of documents."""
+    info = -F.log2(n_e / F.lit(n))
+    return F.when(info > 0, F.log2(n_et * F.lit(n) / (n_e * (df + F.lit(UNSEEN)))) / info).otherwise(0.0)
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """key, start, end, disclosed: the terms that exceed GENERALISE, at most a row per place."""
-    rows = found.where(F.size("base") > 0).select("key", F.explode(F.arrays_zip("base", "near")).alias("x"))
-    rows = rows.select("key", F.concat_ws(":", "x.base.ord", F.lower("x.base.value")).alias("entity"), "x.base.start", "x.base.end", "x.near.*")
-    terms = F.concat(words_at(F.col("left"), F.col("from")), words_at(F.col("right"), F.col("end")))
-    rows = rows.select("key", "entity", F.xxhash64("left", "right").alias("context"), F.explode(terms).alias("t")).select("key", "entity", "context", "t.term", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    rows = materialise(rows.where(F.length("term").between(2, LONGEST) & ~F.col("term").rlike("^[0-9]+$")), "near")
+    """copy, places (start, end, disclosed) of the terms that exceed GENERALISE, of the texts that hold any."""
+    held = found.where(F.size("base") > 0)
+    held = materialise(held.groupBy("copy").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("base").alias("base")), "held")
+    entities = held.select("copy", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["ord"], F.lower(s["value"]))))).alias("entity"))
+    words = held.select("copy", "copies", F.explode(words_of(F.col("text"))).alias("term")).where(F.length("term").between(2, LONGEST) & ~F.col("term").rlike("^[0-9]+$"))
 
     with_text = docs.select(F.col(text_col).cast("string").alias("text"))
-    n = with_text.count()
-    if not n:
-        n = 1
-    of_entity = rows.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = rows.select("entity", "term", "key", "context").distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_et")).where(F.col("contexts") >= CONTEXTS)
-    pairs = materialise(pairs, "terms")
-    frequency = with_text.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text")), NOT_WORD))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # all documents less the further copies of those with personal data
+    n = float(max(1, with_text.count() - (held.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
+    further = words.groupBy("term").agg(F.sum(F.col("copies") - 1).alias("further"))
+    frequency = with_text.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # an inner join stays above the aggregation: a semi-join would go below it and give a row per occurrence
-    frequency = frequency.join(pairs.select("term").distinct(), "term")
-    info = -F.log2(F.col("n_e") / F.lit(n))
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("df", "n_et")))
-    share = F.when(info > 0, pmi / info).otherwise(0.0)
-    verdicts = pairs.join(frequency, "term").join(of_entity, "entity").withColumn("disclosed", share).where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
-    return rows.join(verdicts, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosed").alias("disclosed"))
+    frequency = materialise(frequency.join(further, "term").select("term", (F.col("df") - F.col("further")).alias("df")), "terms")
+    left, right = words.join(frequency, "term").select("copy", "term", "df"), entities.join(of_entity, "entity").withColumnRenamed("copy", "in_copy")
+    possible = share_of(F.least("n_e", "df"), F.col("n_e"), F.col("df"), n) >= GENERALISE
+    pairs = left.join(right, (F.col("copy") == F.col("in_copy")) & possible).select("copy", "entity", "term", "n_e", "df")
+    pairs = materialise(pairs, "pairs")
+    verdicts = pairs.groupBy("entity", "term", "n_e", "df").agg(F.count("*").alias("n_et")).withColumn("disclosed", share_of(F.col("n_et"), F.col("n_e"), F.col("df"), n))
+    verdicts = verdicts.where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
+    of_copy = pairs.select("copy", "entity", "term").join(verdicts, ["entity", "term"]).groupBy("copy", "term").agg(F.max("disclosed").alias("disclosed"))
+    of_copy = of_copy.groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("terms"))
+    return held.select("copy", "text").join(of_copy, "copy").select("copy", places(F.col("text"), F.col("terms")).alias("places"))
 
 
 def all_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, doc_id, base and terms, the latter with their disclosed share; a term that touches a base span is no span of its own."""
     found = found_in(docs, id_col, text_col)
-    extra = disclosing(found, docs, text_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", "disclosed"))).alias("terms"))
-    rows = found.join(extra, "key", "left").select("key", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,ord:int,end:int,disclosed:double>>")).alias("terms"))
+    extra = disclosing(found, docs, text_col).select("copy", F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), p["end"].alias("end"), p["disclosed"].alias("disclosed"))).alias("terms"))
+    rows = found.drop("text").join(extra, "copy", "left").select("key", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,ord:int,end:int,disclosed:double>>")).alias("terms"))
     return rows.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
 
 

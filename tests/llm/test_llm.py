@@ -217,6 +217,13 @@ def test_terms_that_reveal_an_entity(spark):
     assert {r.spans for r in pii.find_personal_data(copies).collect()} == {"email:22:34"}
 
 
+def test_terms_of_an_entity_that_occurs_once(spark):
+    rows = [(0, "Dear Zaphod write to z.b@corp.org about this"), (1, "Dear Zaphod write to z.b@corp.org about this"), *((2 + i, "Dear all write to us about this") for i in range(40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    assert spans[0] == spans[1] == "term:5:11,email:21:33" and spans[2] == ""
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 6)).round(2)
