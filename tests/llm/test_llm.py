@@ -224,6 +224,14 @@ def test_terms_of_an_entity_that_occurs_once(spark):
     assert spans[0] == spans[1] == "term:5:11,email:21:33" and spans[2] == ""
 
 
+def test_terms_far_from_an_entity(spark):
+    text = "Dear İzaphod " + "write to us about this " * 3000 + "at z.b@corp.org"
+    rows = [(0, text), *((1 + i, "Dear all write to us about this at") for i in range(40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    assert spans[0] == f"term:5:12,email:{len(text) - 12}:{len(text)}" and spans[1] == ""
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 6)).round(2)
