@@ -4,6 +4,9 @@ A text becomes a vector of hashed character n-grams (1 to 3 letters, lower case,
 space), weighted by log(1 + count) * idf and scaled to length 1. Each language has up to CENTROIDS
 centroids, found by spherical k-means. A text gets the language of the centroid of the greatest
 cosine; it is rejected where even that one is further away than texts of its length and language are.
+Every length class has such a radius: short classes without enough texts take pieces of longer ones, long
+classes that of the nearest shorter class, as the cosine rises with the length, and languages with too
+few texts for any the least of the other languages.
 
 Document frequencies count all training rows, aggregated per task before they are shuffled. Centroids
 and radii are fitted to at most SAMPLE rows per language, drawn by a hash of the id, a language per
@@ -30,8 +33,10 @@ from corpusloom.llm.common import table
 DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 8192, 4, 600, 12
 #: A text is rejected below this share of the QUANTILE of the cosines of the sample's texts of its length.
 SHARE, QUANTILE = 0.6, 0.01
-#: Texts of a language and length that a radius takes at least; without them no text of that length is rejected.
+#: Texts or pieces of a language and length that a radius takes at least.
 EVIDENCE = 5
+#: Length classes.
+CLASSES = 32
 UNKNOWN = "und"
 #: Vectors that are compared at a time.
 ROWS = 256
@@ -79,6 +84,36 @@ def bucket(n: np.ndarray | int) -> np.ndarray | int:
     return np.log2(np.maximum(n, 1)).astype(np.int64) if isinstance(n, np.ndarray) else int(np.log2(max(n, 1)))
 
 
+def pieces(text: str, enough: set[int]) -> Iterator[np.ndarray]:
+    """Counts of the starts of a text, about one for each shorter length class that hasn't enough texts, cut between words where they can be."""
+    text = text.lstrip()
+    for b in range(2, CLASSES):
+        n = 1 << (b - 1)  # three n-grams a letter: 1.5 times the least of the class
+        if n >= len(text):
+            return
+        if b in enough:
+            continue
+        at = n if text[n].isspace() else max(text.rfind(" ", 0, n), 0) or n
+        yield counts(text[:at])
+
+
+def radii(near: np.ndarray, size: np.ndarray, shorter: np.ndarray, shorter_size: np.ndarray) -> list[float]:
+    """Least cosine by length class, from the cosines and classes of texts and of pieces of texts; all NaN without evidence for any class."""
+    least = np.full(CLASSES, np.nan)
+    for b in range(CLASSES):
+        found = near[size == b]
+        if len(found) < EVIDENCE:
+            found = np.concatenate([found, shorter[shorter_size == b]])
+        if len(found) >= EVIDENCE:
+            least[b] = SHARE * np.quantile(found, QUANTILE)
+    known = np.flatnonzero(~np.isnan(least))
+    if len(known):
+        for b in range(CLASSES):
+            if np.isnan(least[b]):
+                least[b] = least[known[known < b].max() if (known < b).any() else known.min()]
+    return least.tolist()
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -160,11 +195,22 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "least": pa.array([], pa.list_(pa.float64()))})
         size = bucket(np.array([c.sum() for c in x]))
         centroids, near = k_means(vectors(x, idf), CENTROIDS)
-        least = [float(SHARE * np.quantile(near[size == b], QUANTILE)) if (size == b).sum() >= EVIDENCE else 0.0 for b in range(32)]
+        enough = {b for b in range(CLASSES) if (size == b).sum() >= EVIDENCE}
+        shorter, shorter_size = [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+        for text in found["text"].to_pylist():
+            y = [c for c in pieces(text, enough) if c.any()]
+            if y:
+                shorter.append((vectors(y, idf) @ centroids.T).max(1))
+                shorter_size.append(bucket(np.array([c.sum() for c in y])))
+        least = radii(near, size, np.concatenate(shorter), np.concatenate(shorter_size))
         return pa.table({"lang": pa.array([key[0].as_py()] * len(centroids), pa.string()), "centroid": pa.array([c.astype("<f4").tobytes() for c in centroids], pa.binary()), "least": pa.array([least] * len(centroids), pa.list_(pa.float64()))})
 
     found = sorted((r["lang"], bytes(r["centroid"]), r["least"]) for r in drawn.groupBy("lang").applyInArrow(clusters, "lang string, centroid binary, least array<double>").collect())  # CENTROIDS rows per language
-    return Model([f[0] for f in found], np.stack([np.frombuffer(f[1], "<f4") for f in found]) if found else np.zeros((0, DIMENSIONS), np.float32), np.array([f[2] for f in found]), idf)
+    least = np.array([f[2] for f in found], np.float64).reshape(len(found), CLASSES)
+    bare = np.isnan(least).all(1) if len(found) else np.zeros(0, bool)
+    # too few texts for any evidence: the least of the other languages; without those nothing can be said
+    least[bare] = least[~bare].min(0) if (~bare).any() else 0.0
+    return Model([f[0] for f in found], np.stack([np.frombuffer(f[1], "<f4") for f in found]) if found else np.zeros((0, DIMENSIONS), np.float32), least, idf)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -177,6 +177,18 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_rejects_at_any_length(spark):
+    words = {"en": ["the", "house", "with", "think", "ring"], "de": ["schön", "nicht", "zeit", "über", "und"]}
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words[l], 40)), l) for i in range(100) for l in [("en", "de")[i % 2]]]
+    model = language.fit(spark.createDataFrame([*rows, (200, "ja", "xx")], "doc_id bigint, text string, lang string"))
+    assert (model.least > 0).all() and model.least.shape[1] == language.CLASSES
+    foreign = ["Москва", "Б", "это длинный текст " * 20_000, "zqx vkj pqf " * 50_000]
+    own = ["the", "und", "the house with ", "the house with think ring " * 20_000, "schön nicht zeit über und " * 20_000]
+    assert [r for _, _, r in model.predict(foreign)] == [True] * 4
+    assert [r for _, _, r in model.predict(own)] == [False] * 5
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
