@@ -1,20 +1,21 @@
 """Licence scans: a paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line. One that holds an anchor word becomes the set of its word 1-, 2- and 3-grams; a
-softmax regression with sparse weights over the grams of the training texts gives each licence family,
+A paragraph is a line. It becomes the set of its word 1-, 2- and 3-grams; a softmax regression with sparse weights over the grams of the training texts gives each licence family,
 and the class ``unknown``, a probability. A temperature fitted on texts that the weights haven't seen
 calibrates them. A family counts if its calibrated probability is PROBABLE or more and one of its
 templates shares ALIKE of its 2-grams, or of the paragraph's if those are fewer, with the paragraph.
 
 The model is trained on the driver, on the fixed texts below and nothing else. The scan is DataFrame
-functions: splitting and the anchors are narrow; only lines with an anchor are exploded into grams, which
-meet the weights in a broadcast join, as their table has a size fixed by the texts below.
+functions. Every line's 2-grams are compared with the templates', which is narrow; a line that shares too
+few with each template can't be confirmed, whatever its probabilities, so only the others are exploded
+into grams. These meet the weights in a broadcast join, as their table has a size fixed by the texts below.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,15 +85,16 @@ TEMPLATES = {
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
 }
-#: Sentences with anchor words that give no licence.
+#: Sentences, most with anchor words, that give no licence.
 OTHERS = [
     "He lost his driving licence after the accident.", "The licence fee rose again this year.", "She asked for permission to leave the room.", "Permission to land was refused.", "The warranty covers parts for two years.",
     "A copyright dispute between the two singers went to court.", "The restaurant has no licence to serve wine.", "License plates were stolen in the night.", "The public domain of the state includes forests.", "Fishing is permitted with a licence only.",
     "The office issues licences for hunting and fishing.", "They redistribute food to people in need.", "The bill would redistribute income and licence taxes.", "Licensed electricians and plumbers are in demand.", "A licensed guide leads the tour.",
     "The terms of the contract were not disclosed.", "The general public was invited to the party.", "The apache helicopter landed.", "MIT professors signed the letter about copyright.", "The foundation was founded in 1985 and has a licence.",
     "Please read the licence.", "Which licence applies is not known.", "The licence of this text is unclear.", "Ask the author for permission.", "Copyright law is hard.", "All rights come with duties.",
+    "Under the terms of the treaty both sides withdraw.",
 ]
-#: Words without which a line is no licence notice.
+#: Words of licence notices; lines with one are counted, others are judged all the same.
 ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|all rights reserved|unauthorized copying|public domain|creative commons|cc0|mpl|spdx"
 UNKNOWN = "unknown"
 #: Least calibrated probability and share of common 2-grams.
@@ -163,6 +165,28 @@ def grams_in(words: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_compact(F.array_distinct(F.concat(*(one(n) for n in sizes))))
 
 
+def two_grams_of(text: str) -> list[str]:
+    return sorted(g for g in grams_of(words_of(text)) if g.count(" ") == 1)
+
+
+def confirmable(line: Column) -> Column:
+    """Whether a template of any family shares ALIKE of its 2-grams, or of the line's if those are fewer, with the line."""
+    templates = [two_grams_of(t) for ts in TEMPLATES.values() for t in ts]
+    array = lambda gs: F.array(*(F.lit(g) for g in gs))
+    least = min(map(len, templates))
+
+    def enough(x: Column) -> Column:
+        each = (F.size(F.array_intersect(array(gs), x["both"])) >= ALIKE * F.least(x["own"], F.lit(float(len(gs)))) for gs in templates)
+        # what even the shortest template asks for comes first, as few lines share it
+        return F.when(F.size(x["both"]) >= F.greatest(F.lit(1.0), ALIKE * F.least(x["own"], F.lit(float(least)))), reduce(or_, each)).otherwise(False)
+
+    # each step as one value, so that no later one applies it again
+    words = F.array(words_in(line))
+    two = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))))
+    shared = F.transform(two, lambda g: F.struct(F.array_intersect(g, array(sorted(set().union(*templates)))).alias("both"), F.size(g).alias("own")))
+    return F.exists(shared, enough)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_paragraphs, n_anchored, n_licensed, licenses (families, sorted, comma-joined), top_probability.
 
@@ -175,25 +199,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lines.alias("lines"))
-    rows = rows.select("doc_id", F.size("lines").cast("bigint").alias("n_paragraphs"), F.filter("lines", lambda x: x.rlike(ANCHORS)).alias("anchored"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "anchored")  # numbered once for all that follows
-    # lines with an anchor are short of all text; those that are equal are judged once
-    found = rows.select(F.explode("anchored").alias("line")).distinct().withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (1, 2, 3)))
+    rows = rows.select("doc_id", F.size("lines").cast("bigint").alias("n_paragraphs"), F.size(F.filter("lines", lambda x: x.rlike(ANCHORS))).cast("bigint").alias("n_anchored"), F.filter("lines", confirmable).alias("alike"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "alike")  # numbered once for all that follows
+    # lines like a template are short of all text; those that are equal are judged once
+    found = rows.select(F.explode("alike").alias("line")).distinct().withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (1, 2, 3)))
     model = F.broadcast(spark.createDataFrame([(g, [float(v) for v in weights[i]]) for i, g in enumerate(grams) if weights[i].any()], "gram string, w array<double>"))
     sums = [F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + float(intercepts[k]) for k in range(len(classes))]
     scores = found.select("line", F.explode_outer("grams").alias("gram")).join(model, "gram", "left").groupBy("line").agg(F.array(*sums).alias("s"))
     largest = F.array_max("s")
     total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.exp(x - largest))
     best = scores.select("line", (1 / total).alias("p"), F.element_at(F.array(*(F.lit(c) for c in classes)), F.array_position("s", largest).cast("int")).alias("family")).where((F.col("family") != UNKNOWN) & (F.col("p") >= PROBABLE))
-    templates = [(f, f"{f}-{i}", g, float(len(gs))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for gs in [{x for x in grams_of(words_of(t)) if x.count(" ") == 1}] for g in gs]
+    templates = [(f, f"{f}-{i}", g, float(len(gs))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for gs in [two_grams_of(t)] for g in gs]
     templates = F.broadcast(spark.createDataFrame(templates, "family string, template string, gram string, size double"))
     pairs = best.withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (2,))).select("line", "p", "family", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
     alike = pairs.join(templates, ["family", "gram"]).groupBy("line", "p", "family", "template", "own", "size").agg(F.count("*").alias("both")).where(F.col("both") >= ALIKE * F.least("own", "size"))
     judged = alike.groupBy("line", "family").agg(F.max("p").alias("p"))
     # back to the documents, as far as they hold a judged line; a sort-merge join, where it is one, splits a line that is everywhere
-    hits = rows.where(F.size("anchored") > 0).select("row", F.explode("anchored").alias("line")).join(judged, "line")
+    hits = rows.where(F.size("alike") > 0).select("row", F.explode("alike").alias("line")).join(judged, "line")
     hits = hits.groupBy("row").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"), F.round(F.max("p"), 6).alias("top_probability"))
-    return rows.join(hits, "row", "left").select("doc_id", "n_paragraphs", F.size("anchored").cast("bigint").alias("n_anchored"), F.coalesce("n_licensed", F.lit(0).cast("bigint")).alias("n_licensed"), F.coalesce("licenses", F.lit("")).alias("licenses"), "top_probability")
+    return rows.join(hits, "row", "left").select("doc_id", "n_paragraphs", "n_anchored", F.coalesce("n_licensed", F.lit(0).cast("bigint")).alias("n_licensed"), F.coalesce("licenses", F.lit("")).alias("licenses"), "top_probability")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,26 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_words_of_their_own(spark):
+    rows = ["Available under CC BY-SA 4.0.", "Content under CC BY 4.0.", "Released under Apache 2.0.", "Code: BSD-3-Clause.", "under the terms of the", "to the", "one", "-"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["CC-BY-SA", "CC-BY", "Apache-2.0", "BSD", "", "", "", ""]
+    assert {r.n_anchored for r in got} == {0}
+
+
+def test_confirmable_lines_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = sorted({w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.words_of(t)})
+    templates = [set(licenses.two_grams_of(t)) for ts in licenses.TEMPLATES.values() for t in ts]
+    lines = [*(t[i:j] for ts in licenses.TEMPLATES.values() for t in ts for i, j in rng.integers(0, len(t) + 1, (4, 2))), *(" ".join(rng.choice(words, n)) for n in range(9)), "of the", "the", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i bigint, line string")
+    got = [r.c for r in df.select("i", licenses.confirmable(F.col("line")).alias("c")).orderBy("i").collect()]
+    own = [set(licenses.two_grams_of(t)) for t in lines]
+    assert got == [any(len(g & t) >= max(1, licenses.ALIKE * min(len(g), len(t))) for t in templates) for g in own]
+    assert any(got) and not all(got)
+
+
 def test_chat(spark):
     call = lambda *c: json.dumps({"content": "hm", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
     result = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
