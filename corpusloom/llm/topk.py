@@ -8,9 +8,9 @@ lists are read in rounds, deeper each time. After reading to depth d, a candidat
     sum over lists of: its own entry where read, else the last entry      (lower bound)
 
 A candidate whose upper bound is below the query's k-th largest lower bound cannot qualify. Nothing is
-read out of order: a query stops once k or fewer candidates are left, or those left have been read
-whole; what bounds leave open is resolved by reading the lists on. A query carries its k best scores
-from block to block, so that most later blocks are discarded after the first round. All bounds of
+read out of order: a query leaves a block once none of its candidates can qualify; otherwise the lists
+are read to their ends, which are full products with all candidates of the block. A query carries its k best scores
+from block to block, so that later blocks may be discarded before their lists have been read whole. All bounds of
 a round are two matrix products, for all queries and candidates of the block at once.
 
 At scale: candidates are packed into blocks of BLOCK vectors and queries into blocks of QUERIES, both
