@@ -11,38 +11,44 @@ errors of the threshold.
 
 At scale: copies of a set become one class first, by an aggregation that combines before the shuffle.
 A band's members are compared with its smallest member, not with each other, and each with the
-STARS of those that it meets in most bands: as many pairs as members, whatever the groups. Components of the confirmed links follow by alternating stars. Only in bands that still hold
-several components are members compared across components, by finer sketches, in blocks of BLOCK by
-BLOCK, and only estimates that pass are confirmed: the closest per member and component first, then
-all others.
-Joins on hot keys are sort-merge joins that Spark splits. Every round is a table in the shared folder.
+STARS of those that it meets in most bands: as many pairs as members, whatever the groups. Components
+of the confirmed links follow by alternating stars. Only in bands that still hold several components
+are members compared across components, in two passes over blocks:
+
+- by sketches alone, in blocks of BLOCK members, which name the members that may have a partner in
+  another component, one row per member and block at most;
+- with their full sets, in blocks of BLOCK_BYTES of these, which confirm inside the block and give a
+  spanning forest of confirmed links: fewer rows than members, however many pairs are similar.
+
+A pair counts in the first of the bands that it shares, so no pair is estimated or confirmed twice.
+Comparisons of sketches in a mixed band grow with its members outside the largest component times its
+size; rows don't. Joins on hot keys are sort-merge joins that Spark splits. Every round is a table in
+the shared folder; tables that nothing reads any more are deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import discard, materialise, table
 
 #: Words of a shingle and least similarity in hundredths, where a contract doesn't say otherwise.
 WORDS, LEAST = 5, 80
 BANDS, WIDTH, BASE = 30, 5, 1.1
 #: Registers that estimate; the bands take the first BANDS * WIDTH of them.
 REGISTERS = 200
-#: Registers of the finer sketches of classes whose bands hold several components.
-FINE = 1000
 #: Standard errors below the threshold at which an estimate still counts.
 ERRORS = 5
 #: Smallest members of its bands that a class is confirmed with at first.
 STARS = 2
-#: Members of a band that are compared at a time, and the closest per member and component that are confirmed, round by round; at last all.
-BLOCK, ROUNDS = 512, (2, None)
+#: Members of a band whose sketches are compared at a time, and bytes of full sets that are.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 SKETCHES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch binary"
 U64 = np.uint64
@@ -118,17 +124,37 @@ def estimate(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray,
     return j[np.arange(len(j)), score.argmax(1)]
 
 
-def passes(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of sketches may reach the threshold, and their estimates."""
-    out, registers, s = np.zeros(len(n1)), a.shape[1], least / 100
-    lowest = s - ERRORS * (s * (1 - s) / registers) ** 0.5
+def lowest(registers: int, least: int) -> float:
+    """The estimate that a pair at the threshold falls below with five standard errors only."""
+    s = least / 100
+    return s - ERRORS * (s * (1 - s) / registers) ** 0.5
+
+
+def passes(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, least: int, band: int | None = None) -> np.ndarray:
+    """Estimates of pairs of sketches, 0 for those that can't reach the threshold or share a band before the given one."""
+    out, registers = np.zeros(len(n1)), a.shape[1]
     near = np.flatnonzero(100 * np.minimum(n1, n2) >= least * np.maximum(n1, n2))
     # registers agree at least as often as the sets are similar
-    near = near[(a[near] == b[near]).sum(1) >= lowest * registers]
+    equal = a[near] == b[near]
+    enough = equal.sum(1) >= lowest(registers, least) * registers
+    near, equal = near[enough], equal[enough]
+    if band is not None:
+        first = equal[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(2).argmax(1) == band
+        near = near[first]
     if len(near):
         x, y = a[near], b[near]
-        out[near] = estimate((x > y).sum(1), (x < y).sum(1), n1[near].astype(float), n2[near].astype(float), registers)
-    return out >= lowest, out
+        score = estimate((x > y).sum(1), (x < y).sum(1), n1[near].astype(float), n2[near].astype(float), registers)
+        out[near] = np.where(score >= lowest(registers, least), score, 0)
+    return out
+
+
+def linked(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= least * (len(x) + len(y) - both)
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,8 +197,8 @@ def likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok, _ = passes(matrix(batch.column("sa")), matrix(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                score = passes(matrix(batch.column("sa")), matrix(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
+                yield batch.select(["a", "b"]).filter(pa.array(score > 0))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
@@ -189,9 +215,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, least: int, id_col: s
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = full(x.as_py()), full(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= least * (len(x) + len(y) - both))
+                ok.append(linked(full(x.as_py()), full(y.as_py()), least))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
@@ -212,7 +236,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("least"))
         joined = large.join(least, "v")
         small = joined.select("v", F.col("least").alias("m")).union(joined.where("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m"))).where("v <> m").distinct()
-        edges = materialise(small, "edges")
+        before, edges = edges, materialise(small, "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -221,74 +246,141 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("rep"), F.col("m").alias("component")).union(edges.select(F.col("m").alias("rep"), F.col("m").alias("component"))).groupBy("rep").agg(F.min("component").alias("component"))
 
 
-def mixed_bands(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component, and the bands that hold several: the largest (n, component), the size."""
-    own = members.join(labels.hint("merge"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
-    return own, parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of bands that hold several components, with ``major``: in their band's largest one."""
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    several = several.select("band", F.col("top.component").alias("largest"))
+    return rows.join(several.hint("merge"), "band").withColumn("major", F.col("component") == F.col("largest")).drop("largest")
 
 
-def fine_sketches(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, n_shingles and a sketch of FINE registers of the documents named."""
+def dealt(rows: DataFrame, size: Column, block: int) -> DataFrame:
+    """The rows as often as their band's blocks meet: (band, kind, i, j) names two blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Of kind 0 are a block of the largest component and one of the others', of kind 1 two of the others'.
+    A block holds about ``block`` of the given size; ``own`` is a row's own block.
+    """
+    sizes = rows.groupBy("band").agg(*(F.coalesce(F.sum(F.when(F.col("major") == x, size)), F.lit(0)).alias(n) for x, n in ((True, "majors"), (False, "minors"))))
+    blocks = [F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int").alias(n) for n in ("majors", "minors")]
+    rows = rows.join(sizes.select("band", *blocks).hint("merge"), "band")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = [c for c in rows.columns if c not in ("band", "majors", "minors")]
+    major = rows.where("major").select("band", F.lit(0).alias("kind"), own("majors").alias("i"), every("minors").alias("j"), F.lit(0).alias("own"), *carried)
+    minor = rows.where("not major")
+    outer = minor.select("band", F.lit(0).alias("kind"), every("majors").alias("i"), own("minors").alias("j"), F.lit(0).alias("own"), *carried)
+    inner = minor.withColumn("o", every("minors")).withColumn("own", own("minors"))
+    inner = inner.select("band", F.lit(1).alias("kind"), F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", *carried)
+    return major.unionByName(outer).unionByName(inner)
+
+
+def by_blocks(rows: DataFrame, run: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` of the key and the rows of each two blocks; one stream per partition, as most groups are tiny."""
+    keys = ["band", "kind", "i", "j"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        done: list[pa.Table] = []
         for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s, FINE).tobytes() for s in found], pa.binary())], names=["rep", "n_shingles", "sketch"])
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
+            starts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [batch.num_rows]]).tolist()
+            for at, end in zip(starts, starts[1:], strict=False):
+                key = tuple(k[:, at].tolist())
+                if key != last and held:
+                    done.append(run(last, pa.Table.from_batches(held)))
+                    held = []
+                last = key
+                held.append(batch.slice(at, end - at))
+            if sum(t.num_rows for t in done) >= 1024:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done = []
+        if held:
+            done.append(run(last, pa.Table.from_batches(held)))
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    # a fixed number, as the work of a block is no matter of its bytes, by which Spark would merge partitions
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def candidates(key: tuple, found: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Members of two blocks that lie outside the largest component, with the members of other components that may reach the threshold and their estimates."""
+    band, kind, i, j = key
+    component, n, major, own = (found[c].to_numpy() for c in ("component", "n_shingles", "major", "own"))
+    s = matrix(found["sketch"])
+    at = np.arange(len(n))
+    for x in np.flatnonzero(~major).tolist():
+        ok = (component != component[x]) & (100 * np.minimum(n, n[x]) >= least * np.maximum(n, n[x]))
+        if kind == 0:
+            ok &= major
+        else:
+            ok &= (at > x) if i == j else (own != own[x]) & (at > x)
+        others = np.flatnonzero(ok)
+        if len(others):
+            score = passes(np.broadcast_to(s[x], (len(others), s.shape[1])), s[others], np.full(len(others), n[x]), n[others], least, band >> 40)
+            good = score > 0
+            if good.any():
+                yield x, others[good], score[good]
+
+
+def hopeful(rows: DataFrame, least: int) -> DataFrame:
+    """(band, rep) of the members with a partner in another component of their band, by sketches."""
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(reps.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(run, "rep bigint, n_shingles bigint, sketch binary")
+    def run(key: tuple, found: pa.Table) -> pa.Table:
+        keep = np.zeros(found.num_rows, bool)
+        for x, others, _ in candidates(key, found, least):
+            keep[x] = keep[others] = True
+        return found.select(["band", "rep"]).filter(pa.array(keep))
 
+    blocks = dealt(rows, F.lit(1), BLOCK)
+    return by_blocks(blocks, run, "band bigint, rep bigint").distinct()
 
-def across(members: DataFrame, labels: DataFrame, fine: DataFrame, tested: DataFrame, least: int, closest: int | None) -> DataFrame:
-    """Untested pairs (a < b) of different components in one band whose sketches may reach the threshold; the closest per member and component, or all.
 
-    A band's members outside its largest component meet those in it, and each other: the largest
-    component's own members don't meet.
-    """
-    own, mixed = mixed_bands(members, labels)
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("band", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("majors"), blocks(F.col("size") - F.col("top.n")).alias("minors"))
-    rows = materialise(own.join(mixed, "band").join(fine.hint("merge"), "rep"), "mixed")
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    carried = ["rep", "component", "sketch", "n_shingles"]
-    major = rows.where("component = major").select("band", F.lit(0).alias("kind"), block("majors").alias("i"), each("minors").alias("j"), F.lit(False).alias("minor"), *carried)
-    minor = rows.where("component <> major")
-    outer = minor.select("band", F.lit(0).alias("kind"), each("majors").alias("i"), block("minors").alias("j"), F.lit(True).alias("minor"), *carried)
-    inner = minor.withColumn("o", each("minors")).select("band", F.lit(1).alias("kind"), F.least(block("minors"), "o").alias("i"), F.greatest(block("minors"), "o").alias("j"), F.lit(True).alias("minor"), *carried)
+def forests(rows: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) of full sets (a column of sorted hashes, packed) across components: a spanning forest of each two blocks."""
 
     def run(key: tuple, found: pa.Table) -> pa.Table:
-        found = found.sort_by("rep")
-        rep, component, n = (found[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        is_minor, inside = found["minor"].to_numpy(), key[1].as_py() == 1
-        s = matrix(found["sketch"], FINE)
-        out: list[tuple] = []
-        for i in np.flatnonzero(is_minor).tolist():
-            ok = component != component[i]
-            ok &= np.arange(len(rep)) > i if inside else ~is_minor
-            others = np.flatnonzero(ok)
-            if not len(others):
-                continue
-            good, score = passes(np.broadcast_to(s[i], (len(others), FINE)), s[others], np.full(len(others), n[i]), n[others], least)
-            others, score = others[good], score[good]
-            if closest is not None and len(others) > closest:
-                order = np.lexsort((rep[others], -score, component[others]))
-                others, score = others[order], score[order]
-                starts = np.flatnonzero(np.concatenate([[True], component[others][1:] != component[others][:-1]]))
-                place = np.arange(len(others)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(others)]])))
-                others, score = others[place < closest], score[place < closest]
-            out += [(int(rep[i]), int(rep[j]), int(component[j]), float(e)) for j, e in zip(others, score, strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["x", "y", "component", "score"])
-
-    dealt = major.unionByName(outer).unionByName(inner)
-    pairs = dealt.groupBy("band", "kind", "i", "j").applyInArrow(run, "x bigint, y bigint, component bigint, score double").distinct()
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "component", "score").join(tested, ["a", "b"], "left_anti")
-    if closest is not None:
-        w = Window.partitionBy("x", "component").orderBy(F.desc("score"), "a", "b")
-        pairs = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= closest)
-    return pairs.select("a", "b").distinct()
+        rep, component, sets = found["rep"].to_numpy(), found["component"].to_numpy(), found["hashes"]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        full = lambda at: np.frombuffer(sets[at].as_py(), U64)
+        out: list[tuple[int, int]] = []
+        for x, others, score in candidates(key, found, least):
+            mine = None
+            # the most similar first, as one link is enough for each component
+            for y in others[np.lexsort((rep[others], -score))].tolist():
+                if root(int(component[x])) == root(int(component[y])):
+                    continue
+                mine = full(x) if mine is None else mine
+                if linked(mine, full(y), least):
+                    parent[root(int(component[x]))] = root(int(component[y]))
+                    out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+        columns = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    blocks = dealt(rows, F.col("n_shingles") * 8 + REGISTERS, BLOCK_BYTES)
+    return by_blocks(blocks, run, "a bigint, b bigint").distinct()
+
+
+def full_sets(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """rep and the sorted hashes of its shingles, packed, of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "hashes"])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(reps.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(run, "rep bigint, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,19 +403,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_
     tested = materialise(likely(pairs, classes, least), "pairs")
     links = materialise(confirm(tested, docs, words, least, id_col, text_col), "links")
     labels = materialise(components(links), "labels")
-    members = members.select("band", "rep")
-    own, mixed = mixed_bands(members, labels)
-    # components only grow, so that later rounds need no other classes
-    fine = materialise(fine_sketches(own.join(mixed, "band").select("rep").distinct(), docs, words, id_col, text_col), "fine")
-    for closest in ROUNDS:
-        more = materialise(across(members, labels, fine, tested, least, closest), "pairs")
-        if more.isEmpty():
-            continue
-        found = materialise(confirm(more, docs, words, least, id_col, text_col), "links")
-        tested = tested.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = materialise(components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(found)), "labels")
+    # what the stars have left apart, across the components of each band
+    own = members.select("band", "rep").join(labels.hint("merge"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.select("rep", "n_shingles", "sketch")
+    apart = materialise(mixed(own).join(of_class.hint("merge"), "rep"), "apart")
+    kept = materialise(hopeful(apart, least), "hopeful")
+    sets = full_sets(kept.select("rep").distinct(), docs, words, id_col, text_col)
+    rows = mixed(apart.drop("major").join(kept.hint("merge"), ["band", "rep"], "left_semi")).join(sets.hint("merge"), "rep")
+    found = materialise(forests(rows, least), "links")
+    if not found.isEmpty():
+        stars = labels.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+        labels = materialise(components(stars.union(found)), "labels")
+    discard(members, tested, links, apart, kept, found)
     whole = classes.select("h1", "h2", "n_shingles", "rep").join(labels.hint("merge"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = one.select("doc_id", "n_shingles", "h1", "h2").join(whole.hint("merge"), ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))

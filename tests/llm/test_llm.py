@@ -158,9 +158,27 @@ def test_joint_estimate_is_near():
         x = rng.integers(0, 2**63, 3000).astype(np.uint64)
         both = int(3000 * 2 * j / (1 + j))
         y = np.concatenate([x[:both], rng.integers(0, 2**63, 3000 - both).astype(np.uint64)])
-        a, b = near_dup.sketch(x, near_dup.FINE), near_dup.sketch(y, near_dup.FINE)
-        e = near_dup.estimate(np.array([(a > b).sum()]), np.array([(a < b).sum()]), np.array([3000.0]), np.array([3000.0]), near_dup.FINE)[0]
-        assert abs(e - j) < 0.06
+        a, b = near_dup.sketch(x), near_dup.sketch(y)
+        e = near_dup.estimate(np.array([(a > b).sum()]), np.array([(a < b).sum()]), np.array([3000.0]), np.array([3000.0]), near_dup.REGISTERS)[0]
+        assert abs(e - j) < 0.1
+
+
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """One group around a text that few of its copies are similar enough to, so that links have to be found between copies, in blocks of a few members."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4000)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.integers(0, len(w), int(rng.integers(4, 9))):
+            w[k] = f"x{rng.integers(0, 3)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [(r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=4).orderBy("doc_id").collect()]
+    want = brute_groups(texts, 4, 80)
+    assert got == want and 1 < len({c for _, c in want}) < 90
 
 
 def test_language(spark, docs, empty):
