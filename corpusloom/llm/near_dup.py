@@ -389,7 +389,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_
     Links join documents whose sets' intersection is least hundredths of their union or more. A text
     that is null, empty or has no words has no shingles and is linked with nothing. Rows that share
     an id are copies of one document and get the same values; an empty table gives no rows. Ids that
-    are null are linked with nothing and kept. Only the two columns named are read.
+    are null are linked with nothing and kept. An id is taken to name one text. Only the two columns
+    named are read.
     """
     one = materialise(sketches(docs, words, id_col, text_col), "sketches")
     classes = one.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("h1", "h2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.sketch")
@@ -408,13 +409,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_
     of_class = classes.select("rep", "n_shingles", "sketch")
     apart = materialise(mixed(own).join(of_class.hint("merge"), "rep"), "apart")
     kept = materialise(hopeful(apart, least), "hopeful")
-    sets = full_sets(kept.select("rep").distinct(), docs, words, id_col, text_col)
+    sets = materialise(full_sets(kept.select("rep").distinct(), docs, words, id_col, text_col), "sets")
     rows = mixed(apart.drop("major").join(kept.hint("merge"), ["band", "rep"], "left_semi")).join(sets.hint("merge"), "rep")
     found = materialise(forests(rows, least), "links")
     if not found.isEmpty():
         stars = labels.select(F.col("rep").alias("a"), F.col("component").alias("b"))
         labels = materialise(components(stars.union(found)), "labels")
-    discard(members, tested, links, apart, kept, found)
+    discard(members, tested, links, apart, kept, sets, found)
     whole = classes.select("h1", "h2", "n_shingles", "rep").join(labels.hint("merge"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = one.select("doc_id", "n_shingles", "h1", "h2").join(whole.hint("merge"), ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
