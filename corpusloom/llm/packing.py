@@ -6,8 +6,10 @@ under every constraint, the one with the least weighted residual norm (or the la
 product) gets it. Documents over the token capacity are cut, no others.
 
 At scale: tokenising is one narrow pass; what is shuffled is a few numbers a piece. Pieces are dealt
-by a hash of their key, whatever their source, into groups of about GROUP; a group leaves a few
-sequences short, so the loss against one global packing is a few sequences per GROUP pieces.
+by a hash of their place in the table of pieces, whatever their source or id, into groups of about
+GROUP; a group leaves a few sequences short, so the loss against one global packing is a few
+sequences per GROUP pieces. Under the capacities below only the tokens bind, as every piece has a
+token at least: documents and cost are slack, so that sequences are as few as possible.
 """
 
 from __future__ import annotations
@@ -42,13 +44,15 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizers file whose pieces never cross a space, so that what spaces set apart is encoded once."""
+    """Ids of texts by a tokenizers file whose pieces never cross a space, so that what spaces set apart is encoded once.
+
+    Strings of its special tokens get their ids, as they do in the library by default.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -157,7 +161,8 @@ def pack(found: DataFrame, n_pieces: int, **limits) -> DataFrame:
         columns = [rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(which), pa.array(offset)]
         return pa.Table.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("bigint"))
+    # by the row's place, as one id may be that of many rows; the rows are those of a written table
+    dealt = found.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("bigint"))
     return dealt.groupBy("part").applyInArrow(run, PACKED)
 
 
