@@ -9,7 +9,7 @@ classes that of the nearest shorter class, as the cosine rises with the length,
 few texts for any the least of the other languages.
 
 Document frequencies count all training rows, aggregated per task before they are shuffled. Centroids
-and radii are fitted to at most SAMPLE rows per language, drawn by a hash of the id, a language per
+and radii are fitted to at most SAMPLE rows per language, drawn by a hash of id and text, a language per
 task. To the driver come DIMENSIONS frequencies and the centroids, neither of which grows with the rows.
 Prediction is one narrow pass over whole texts.
 """
@@ -31,6 +31,8 @@ from corpusloom.llm.common import table
 
 #: Hashed n-grams; centroids of a language; rows of a language that they are fitted to; rounds of k-means.
 DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 8192, 4, 600, 12
+#: Languages that rows may be labelled with; the centroids of all are held at once.
+MAX_LANGUAGES = 512
 #: A text is rejected below this share of the QUANTILE of the cosines of the sample's texts of its length.
 SHARE, QUANTILE = 0.6, 0.01
 #: Texts or pieces of a language and length that a radius takes at least.
@@ -158,7 +160,10 @@ def k_means(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages of the labelled rows; rows whose text or language is null teach nothing."""
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    found = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in found}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -185,8 +190,10 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(SAMPLE / n)).otherwise(share)
-    order = F.xxhash64(F.col("doc_id"))
+    order = F.xxhash64(F.col("doc_id"), F.col("text"))
     drawn = rows.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).withColumn("order", order)
+    # rows that repeat are drawn together: one of them is enough, and their group may be of any size
+    drawn = drawn.groupBy("lang", "order").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
 
     def clusters(key: tuple, found: pa.Table) -> pa.Table:
         found = found.sort_by([("order", "ascending"), ("doc_id", "ascending")]).slice(0, SAMPLE)
@@ -218,18 +225,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected per row, repeated rows too; lang_pred is UNKNOWN, score 0 and rejected true for a text that is null or has no letter.
 
-    With keep, those columns of the documents come instead of doc_id and held_out, before lang_pred, score and rejected.
+    With keep, those columns of the documents come instead of doc_id and held_out, before lang_pred, score and rejected,
+    whose names begin with the prefix.
     """
     given = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out")]
     rows = docs.select(*given, F.col(text_col).cast("string").alias("corpusloom_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(f"{prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(model.predict(batch.column(batch.num_columns - 1).to_pylist()))
+            found = [x for texts in portions(batch.column(batch.num_columns - 1)) for x in model.predict(texts)]
             columns = list(zip(*found, strict=True)) or [()] * 3
             made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
