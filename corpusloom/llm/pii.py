@@ -21,6 +21,8 @@ GENERALISE if every document of the rarer of the two held both; no other pair ca
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +72,39 @@ def accepted(kind: str, value: Column) -> Column:
     return (n >= 10) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+
+def largest(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column], Column]) -> Column:
+    """merge (total or largest) of all values before each; by blocks of the root of their number, so no step goes over all that came before."""
+    size = lambda v: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+    whole = lambda i, b: F.floor(i / b).cast("int")
+    one = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), size(v).alias("b")))
+    two = F.transform(one, lambda x: F.struct(x["v"].alias("v"), x["b"].alias("b"), F.transform(F.sequence(F.lit(0), whole(F.size(x["v"]), x["b"])), lambda k: merge(F.slice(x["v"], k * x["b"] + 1, x["b"]))).alias("blocks")))
+    three = F.transform(two, lambda x: F.struct(x["v"].alias("v"), x["b"].alias("b"), F.transform(x["blocks"], lambda _, k: merge(F.slice(x["blocks"], F.lit(1), k))).alias("before")))
+    each = lambda x, i: merge(F.array(F.get(x["before"], whole(i, x["b"])), merge(F.slice(x["v"], whole(i, x["b"]) * x["b"] + 1, i % x["b"]))))
+    return F.transform(three, lambda x: F.transform(x["v"], lambda _, i: each(x, i)))[0]
+
+
 def located(text: Column, pattern: str) -> Column:
     """(start, value) of every match in order, in code points."""
-    before = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def starts(pair: Column) -> Column:
-        return F.transform(pair["found"], lambda value, i: F.struct((before(pair["gaps"], i + 1) + before(pair["found"], i)).alias("start"), value.alias("value")))
+
+    def ends(pair: Column) -> Column:
+        lengths = F.zip_with(pair["gaps"], pair["found"], lambda gap, value: F.length(gap) + F.coalesce(F.length(value), F.lit(0)))
+        return F.struct(pair["found"].alias("found"), pair["gaps"].alias("gaps"), running(lengths, total).alias("before"))
+
+    def starts(x: Column) -> Column:
+        return F.transform(x["found"], lambda value, i: F.struct((F.get(x["before"], i) + F.length(F.get(x["gaps"], i))).alias("start"), value.alias("value")))
 
     # both arrays as one value, so that no lambda applies the pattern again
     pair = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
-    return F.when(text.rlike(pattern), F.transform(pair, starts)[0]).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    return F.when(text.rlike(pattern), F.transform(F.transform(pair, ends), starts)[0]).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
 
 
 def spans_of(text: Column, k: int) -> Column:
@@ -129,18 +154,10 @@ def words_of(text: Column) -> Column:
 
 
 def places(text: Column, terms: Column) -> Column:
-    """(start, end, disclosed) of the words that are a key of the map, in order; one walk over the text."""
-    parts = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
-    none = F.array().cast("array<struct<start:int,end:int,disclosed:double>>")
-
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
-        share = F.element_at(terms, F.lower(x["word"]))
-        here = F.array(F.struct(start.alias("start"), end.alias("end"), share.alias("disclosed")))
-        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(acc["found"], here)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), walk, lambda acc: acc["found"])
+    """(start, end, disclosed) of the words that are a key of the map, in order."""
+    share = lambda word: F.element_at(terms, F.lower(word))
+    words = F.transform(located(text, WORD), lambda w: F.struct(w["start"].alias("start"), (w["start"] + F.length(w["value"])).alias("end"), share(w["value"]).alias("disclosed")))
+    return F.filter(words, lambda w: w["disclosed"].isNotNull())
 
 
 def share_of(n_et: Column, n_e: Column, df: Column, n: float) -> Column:
@@ -208,13 +225,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.withColumn(named[0], key_of(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     rows = rows.join(spans.select(F.col("key").alias(named[0]), marks.alias(named[1])), named[0], "left")
     text, marks = F.col(text_col).cast("string"), F.col(named[1])
-    last = lambda i: F.greatest(F.lit(0), F.array_max(F.transform(F.slice(marks, F.lit(1), i), lambda m: m["end"])))
+    ends = F.transform(marks, lambda m: m["end"])
 
-    def piece(m: Column, i: Column) -> Column:
-        start, shape = F.greatest(m["start"], last(i)), F.when(F.substring(text, m["start"] + 1, F.lit(1)).rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
-        return F.concat(F.substring(text, last(i) + 1, start - last(i)), F.when(m["end"] > last(i), F.coalesce(m["label"], shape)).otherwise(""))
+    def piece(m: Column, last: Column) -> Column:
+        start, shape = F.greatest(m["start"], last), F.when(F.substring(text, m["start"] + 1, F.lit(1)).rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
+        return F.concat(F.substring(text, last + 1, start - last), F.when(m["end"] > last, F.coalesce(m["label"], shape)).otherwise(""))
 
-    clean = F.concat(F.array_join(F.transform(marks, piece), ""), F.substring(text, last(F.size(marks)) + 1, F.length(text)))
+    # the end of all marks before each, as marks of different kinds may overlap
+    clean = F.concat(F.array_join(F.zip_with(marks, running(ends, largest), piece), ""), F.substring(text, largest(ends) + 1, F.length(text)))
     return rows.withColumn(text_col, F.when(marks.isNull() | text.isNull(), text).otherwise(clean)).drop(*named)
 
 

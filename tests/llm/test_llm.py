@@ -53,7 +53,6 @@ def test_packing_is_whole_and_tight(docs, empty):
 
     path = packing.default_vocabulary()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, path).collect()
     for i, text in enumerate(TEXTS):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -72,6 +71,18 @@ def test_packing_is_whole_and_tight(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_tokens_of_strange_texts_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> \n<|endoftext|>\t x", "  <|endoftext|>  <|endoftext|> ", "don't  stop\u00a0é e\u0301", "I'm <|endoftext|>'s"]
+    for text, packed in zip(texts, own.encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    rows = packing.pack_documents(spark.createDataFrame([(7, "one id of many rows")] * 50, "doc_id bigint, text string"), path).collect()
+    assert len(rows) == 50 and len({r.sequence_id for r in rows}) == 1
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(rule):
     n = np.sort(np.random.default_rng(1).integers(1, 60, 400))[::-1]
@@ -237,6 +248,67 @@ def test_private_data(spark, empty):
     assert clean[2] == "x@[EMAIL]" and clean[6] == "[PHONE] +4" and clean[15] is None and clean[16] == ""
 
 
+def test_running_sums_and_maxima(spark):
+    values = [[], [5], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5], list(range(100, 0, -1))]
+    df = spark.createDataFrame(list(enumerate(values)), "i bigint, v array<int>")
+    got = df.select("i", pii.running(F.col("v"), pii.total).alias("s"), pii.running(F.col("v"), pii.largest).alias("m")).orderBy("i").collect()
+    for r, v in zip(got, values, strict=True):
+        assert r.s == [sum(v[:i]) for i in range(len(v))] and r.m == [max([0, *v[:i]]) for i in range(len(v))]
+
+
+def test_many_addresses_in_one_text(spark):
+    text = " ".join(f"user{i}@host{i}.org word{i}" for i in range(6000))
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    r = pii.find_personal_data(df).first()
+    assert r.n_email == 6000 and r.base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+
+
+def brute_terms(texts):
+    """Terms of each text by d(e, t), counted over distinct texts, as the docstring of pii says."""
+    entities = {t: {(k, v.lower()) for k, v in re.findall(r"()(\w+@\w+\.org)", t)} for t in set(texts)}
+    words = {t: {w for w in re.split(r"[^\w]+", t.lower()) if 2 <= len(w) <= 64 and not re.fullmatch("[0-9]+", w)} for t in set(texts)}
+    # copies of texts with personal data count once, other copies each
+    n = len([t for t in texts if not entities[t]]) + len([t for t in set(texts) if entities[t]])
+    times = {t: 1 if entities[t] else texts.count(t) for t in set(texts)}
+    df = {}
+    for t, ws in words.items():
+        for w in ws:
+            df[w] = df.get(w, 0) + times[t]
+    out = {}
+    for t in set(texts):
+        for e in entities[t]:
+            having = [x for x in entities if e in entities[x]]
+            info = -np.log2(len(having) / n)
+            for w in words[t]:
+                n_et = sum(w in words[x] for x in having)
+                if info > 0 and np.log2(n_et * n / (len(having) * (df[w] + pii.UNSEEN))) / info >= pii.GENERALISE:
+                    out.setdefault(t, set()).add(w)
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    common, rare = [f"common{i}" for i in range(30)], [f"rare{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        w = [*rng.choice(common, 12), *rng.choice(rare, 2)]
+        if i % 5 == 0:
+            who = int(rng.integers(0, 8))
+            w += [f"name{who}", f"p{who}@corp.org"]
+        texts.append(" ".join(rng.permutation(w)))
+    texts += texts[:10] + texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want, fired = brute_terms(texts), 0
+    for r in pii.find_personal_data(df).collect():
+        text = texts[r.doc_id]
+        found = {text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"}
+        base = {(int(a), int(b)) for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind != "term"}
+        inside = {w for a, b in base for w in re.findall(r"\w+", text[a:b])}
+        assert found == want.get(text, set()) - inside
+        fired += bool(found)
+    assert fired > 20
+
+
 def test_terms_that_reveal_an_entity(spark):
     rows = [(i, f"word{i} Marvin wrote to m.s@corp.org about thing{i}") for i in range(6)] + [(100 + i, f"text {i} about what was wrote to") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from corpusloom.llm import packing
+from corpusloom.llm.common import materialise
 
 
 def test_stages(spark, tmp_path):
@@ -29,3 +30,19 @@ def test_stages(spark, tmp_path):
     cut = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     assert cut(again.collect()) == cut(kept["best_fit_packing"])
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece").collect())) == sorted((r.doc_id, r.piece) for r in kept["best_fit_packing"])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Ids that are null or repeated, clashing columns, and an empty table."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["the", "house", "with", "think", "ring", "from", "water", "stone"], 40)) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(3, texts[3], "en"), (3, texts[3], "en"), (None, texts[5], "en"), (None, texts[5], "en"), (40, texts[6], "en"), (41, None, None)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, rejected boolean, score int, lang_pred string, component_id int, kept boolean, key string, place int"
+    df = spark.createDataFrame([(i, t, l, "s", 0, True, 7, "xx", 1, False, "k", 1) for i, t, l in rows], names)
+    for docs, want in ((df, [None, None, *range(30)]), (df.where("doc_id = -1"), [])):
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == df.columns
+            docs = materialise(out, "stage")
+        assert sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is not None, x)) == want
+        assert corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len(set(want))
