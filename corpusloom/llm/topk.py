@@ -14,9 +14,9 @@ from block to block, so that later blocks may be discarded before their lists ha
 a round are two matrix products, for all queries and candidates of the block at once.
 
 At scale: candidates are packed into blocks of BLOCK vectors and queries into blocks of QUERIES, both
-bounded. Blocks of candidates are dealt over SPREAD parts that each hold a copy of the stated queries'
-blocks, and meet them by an equi-join on the part. A pair of blocks leaves k rows per query, which
-combine by a window with a limit per group.
+bounded. Blocks of candidates are dealt over parts, as many as blocks but no more than a few per
+shuffle partition, that each hold a copy of the stated queries' blocks and meet them by an equi-join on
+the part. A pair of blocks leaves k rows per query, which combine by a window with a limit per group.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ from corpusloom.llm.common import materialise, table
 BLOCK, QUERIES = 4096, 1024
 DEPTHS = (0.05, 0.25, 0.6, 1.0)
 SCALE = 256
-#: Parts over which the blocks of candidates are dealt, each with a copy of every block of queries.
-SPREAD = 64
+#: Greatest and least score that a row can carry; what lies beyond is written as the nearer of them.
+MOST, LEAST = 2**63 - 1, -(2**63)
 
-RESULT = "query_id bigint, vec_id bigint, score bigint"
+RESULT = "query_block bigint, place int, query_id bigint, vec_id bigint, score bigint"
 
 
 def whole(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -101,31 +101,34 @@ def search(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, k: int, flo
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(lists.x).max(initial=0)) * lists.width < 2.0**52
     kind = np.float64 if exact else object  # Python's integers where doubles would round
     plus, minus = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    live = np.arange(len(q))
+    live, columns = np.arange(len(q)), np.arange(lists.n)  # queries and candidates that may still meet
     own = query_ids[:, None] == lists.ids[None, :]
     for share in DEPTHS:
         depth = max(1, min(lists.n, int(np.ceil(share * lists.n))))
-        most_top, least_top, least_bottom, most_bottom = (a.astype(kind) for a in lists.read(depth))
+        most_top, least_top, least_bottom, most_bottom = (a[columns].astype(kind) for a in lists.read(depth))
         p, m = plus[live], minus[live]
         # a negative component favours small entries: what may be least of an entry gives most of the product
         upper = (p @ most_top.T + m @ least_bottom.T).astype(np.float64)
         lower = (p @ least_top.T + m @ most_bottom.T).astype(np.float64) if depth < lists.n else upper
-        upper[own[live]] = lower[own[live]] = -np.inf
+        no = own[np.ix_(live, columns)]
+        upper[no] = lower[no] = -np.inf
         floor[live] = np.maximum(floor[live], kth(lower, k))
         if depth == lists.n:
             break
-        live = live[(upper >= floor[live, None]).any(1)]
+        able = upper >= floor[live, None]
+        live, columns = live[able.any(1)], columns[able.any(0)]
         if not len(live):
             return
     if not exact:
         scores = p @ most_top.T + m @ least_bottom.T
     for i, row in enumerate(live.tolist()):
-        found = np.flatnonzero((upper[i] >= floor[row]) & ~own[row])
-        found = found[np.lexsort((lists.ids[found], -upper[i][found]))]
+        found = np.flatnonzero((upper[i] >= floor[row]) & ~own[row, columns])
         if exact:  # of equal scores those of the smallest ids
-            found = found[:k]
-        for j in found.tolist():
-            yield row, j, int(upper[i, j]) if exact else int(scores[i, j])
+            found = found[np.lexsort((lists.ids[columns[found]], -upper[i][found]))]
+        else:
+            found = np.array(sorted(found.tolist(), key=lambda j: (-scores[i, j], lists.ids[columns[j]])), int)
+        for j in found[:k].tolist():
+            yield row, int(columns[j]), min(MOST, max(LEAST, int(upper[i, j] if exact else scores[i, j])))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -133,31 +136,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     A row is no candidate of the query of its own id. Vectors that are null, empty or hold a component
     that is null or not finite take no part, nor do rows without an id; vectors of different lengths
-    don't meet. Rows that share an id are candidates each. Fewer candidates than k give fewer rows.
+    don't meet. Rows that share an id are candidates each, and queries each, with k rows of their own.
+    Fewer candidates than k give fewer rows. Components beyond the range of a long count as its ends,
+    and so do scores, whose order within a block follows their exact values all the same.
     """
+    spark = vectors.sparkSession
     asked = blocks(whole(queries, id_col, vec_col), QUERIES, ("q_ids", "q"))
     asked = materialise(asked.withColumn("query_block", F.monotonically_increasing_id()), "queries")
     given = blocks(whole(vectors, id_col, vec_col), BLOCK, ("ids", "x"))
     # each pair of a candidates' and a queries' block is a unit of its own; the copies of the queries are dealt over the blocks of candidates
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")
+    spread = max(1, min(-(-vectors.count() // BLOCK), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(spread)).cast("int")
     given = given.withColumn("dealt", dealt)
-    asked = asked.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    asked = asked.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[int, np.ndarray] = {}
+        last, lists = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 width, ids, x, q_ids, q, number = (batch.column(c)[r].as_py() for c in ("width", "ids", "x", "q_ids", "q", "query_block"))
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                lists = SortedLists(ids, np.frombuffer(x, "<i8").reshape(-1, width))
+                if last != (width, x):  # a block's pairs follow each other: it is sorted once
+                    last, lists = (width, x), SortedLists(ids, np.frombuffer(x, "<i8").reshape(-1, width))
                 floor = floors.setdefault(number, np.full(len(q_ids), -np.inf))
-                found = [(int(q_ids[i]), int(lists.ids[j]), s) for i, j, s in search(lists, q_ids, np.frombuffer(q, "<i8").reshape(-1, width), k, floor)]
+                found = [(number, i, int(q_ids[i]), int(lists.ids[j]), s) for i, j, s in search(lists, q_ids, np.frombuffer(q, "<i8").reshape(-1, width), k, floor)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=["query_block", "place", "query_id", "vec_id", "score"])
 
     pairs = given.join(asked.hint("merge"), ["width", "dealt"]).select("width", "ids", "x", "q_ids", "q", "query_block")
     best = pairs.mapInArrow(run, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
