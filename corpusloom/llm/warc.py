@@ -124,24 +124,24 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     base = base.select("*", url_key(F.col("url")).alias("key"), F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
     large = base.where(F.col("size") >= LEAST_REVISIT).select("key", "page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    revisits = large.join(first, "digest").where("page_id > first").select("key", "page_id", F.lit(0).alias("kind"), F.col("first").alias("refers_to"), *(F.lit(None).cast(t).alias(c) for c, t in (("url", "string"), ("html", "string"), ("digest", "string"), ("size", "bigint"))))
+    revisits = large.join(first, "digest").where("page_id > first").select("key", "page_id", F.lit(0).alias("kind"), F.col("first").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(None).cast("bigint").alias("size"))
     rows = base.select("key", "page_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "html", "digest", "size")
     n = min(MAX_ARCHIVES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = revisits.unionByName(rows).repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "kind")
+    dealt = revisits.unionByName(rows).repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "digest", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, opened, at, revisit, top = uuid.uuid4().hex, None, 0, None, None
         for batch in batches:
             for key, page_id, kind, refers_to, url, html, digest, size in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "kind", "refers_to", "url", "html", "digest", "size")), strict=True):
                 if kind == 0:
-                    revisit = key, page_id, refers_to
+                    revisit = key, page_id, digest, refers_to
                     continue
                 if opened is None:
                     files, path = filesystem(f"{folder}/{name}")
                     opened, index = files.open_output_stream(f"{path}.warc.gz", compression=None), IndexWriter(files.open_output_stream(f"{path}.index", compression=None))
                 number = NO_ID if page_id is None else page_id
                 top = top or (key, number)
-                packed = record(number, url, html.encode(), size, digest, revisit[2] if revisit and revisit[:2] == (key, page_id) else None)
+                packed = record(number, url, html.encode(), size, digest, revisit[3] if revisit and revisit[:3] == (key, page_id, digest) else None)
                 opened.write(packed)
                 index.put(key, number, f"{name}.warc.gz", at, len(packed))
                 at += len(packed)
@@ -167,7 +167,9 @@ class CaptureReader:
         else:
             self.held[key] = make()
             if len(self.held) > 64:
-                self.held.popitem(last=False)
+                old = self.held.popitem(last=False)[1]
+                if isinstance(old, pa.NativeFile):
+                    old.close()
         return self.held[key]
 
     def _file(self, name: str) -> pa.NativeFile:
@@ -213,7 +215,9 @@ def look_up(wanted: DataFrame, folder: str, top: list[tuple[str, int, str]], id_
     """RESULT of every capture of the wanted (URL, page id), by binary search and range reads; equal rows ask once."""
     asked = wanted.select(url_key(F.col(url_col).cast("string")).alias("key"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).cast("bigint")).alias("page_id"))
     # by range, so that a task's look-ups share blocks; dropping duplicates needs no further exchange
-    asked = asked.repartitionByRange("key", "page_id").dropDuplicates(["key", "page_id"]).sortWithinPartitions("key", "page_id")
+    # in as many parts as the archives are written by, as a look-up's work is that of its page and not of its key
+    n = min(MAX_ARCHIVES, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.repartitionByRange(n, "key", "page_id").dropDuplicates(["key", "page_id"]).sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = CaptureReader(folder, top)
