@@ -209,7 +209,9 @@ def deduplicate(lists: DataFrame) -> DataFrame:
     several = places.where("one <> last").select("digest", "one")
     joined = refs.join(several, "digest", "left").select("doc_id", "n_bytes", "pack", "row", F.struct("k", "digest", F.coalesce("one", "place").alias("place")).alias("c"))
     # by range, and again by the same key: the rows of a pack stay together, so that its blocks are read once
-    ranged = joined.repartitionByRange("pack", "row")
+    # in a fixed number of parts, as Spark would merge them by the bytes of references and not of what they name
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = joined.repartitionByRange(n, "pack", "row")
     return ranged.groupBy("pack", "row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list("c")).alias("chunks")).sortWithinPartitions("pack", "row")
 
 
