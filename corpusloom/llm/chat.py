@@ -28,7 +28,7 @@ TOOLS = {
 }
 
 ROLES = ("system", "user", "assistant", "tool")
-CALLS = "array<struct<id:string,name:string,arguments:variant>>"
+CALLS = "array<struct<id:string,name:string,arguments:string>>"
 
 
 def json_type(value: Column) -> Column:
@@ -42,14 +42,19 @@ def json_type(value: Column) -> Column:
 
 def problems(arguments: Column, schema: Column) -> Column:
     """What is wrong with a call's arguments, by argument; schema: array of (argument, type, required), null for an unknown tool."""
-    given = F.coalesce(F.from_json(F.to_json(arguments), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    given = F.coalesce(F.from_json(arguments, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     entries = F.map_entries(given)
     kinds = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), json_type(e["value"]).alias("type")))
     fits = lambda have, want: (have == want) | ((want == "number") & (have == "integer"))
     missing = F.transform(F.filter(schema, lambda s: s["required"] & ~F.exists(kinds, lambda k: k["key"] == s["argument"])), lambda s: F.concat(s["argument"], F.lit(": missing")))
     wrong = F.transform(F.filter(kinds, lambda k: F.exists(schema, lambda s: (s["argument"] == k["key"]) & ~fits(k["type"], s["type"]))), lambda k: F.concat(k["key"], F.lit(": not of its type")))
     unknown = F.transform(F.filter(kinds, lambda k: ~F.exists(schema, lambda s: s["argument"] == k["key"])), lambda k: F.concat(k["key"], F.lit(": not in the schema")))
-    return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
+    parsed = F.try_parse_json(arguments)
+    readable = arguments.isNull() | parsed.isNotNull()
+    return (
+        F.when(schema.isNull(), F.array(F.lit("unknown tool"))).when(~readable, F.array(F.lit("arguments: not JSON, or with a repeated key")))
+        .when(arguments.isNotNull() & (json_type(parsed) != "object"), F.array(F.lit("arguments: not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, unknown)))
+    )
 
 
 def format_messages(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -58,7 +63,11 @@ def format_messages(messages: DataFrame, tools: dict[str, dict[str, tuple[str, b
     Sorted by (conv_id, order_turn, order_rank, turn, message) a conversation is in topological order.
     message is JSON with sorted keys and no spaces; arguments too. linked: whether a result's call is
     known (null for other messages). Of calls of one id in one conversation the first counts, the
-    others are noted in problems, and stay. Results of one call stay each. Null texts have no content;
+    others are noted in problems, and stay. Arguments that are a string hold their JSON, as some
+    interfaces send them; those that aren't an object, or repeat a key, are a problem, and what can't be
+    parsed stays as a string. Numbers without a fraction, 1.0 too, are integers.
+    Fields of a message other than content, tool_calls and tool_call_id are not part of the format.
+    Results of one call stay each. Null texts have no content;
     text that isn't such JSON is content; a null id or conversation links with nothing. Equal rows
     stay each; an empty table gives no rows; other columns than conv_id, turn, role, text aren't read.
     """
@@ -69,7 +78,7 @@ def format_messages(messages: DataFrame, tools: dict[str, dict[str, tuple[str, b
     looks = F.ltrim("text").startswith("{")
     calls = F.when(looks & (F.col("role") == "assistant"), F.from_json(F.get_json_object("text", "$.tool_calls"), CALLS))
     result_of = F.when(looks & (F.col("role") == "tool"), F.get_json_object("text", "$.tool_call_id"))
-    rows = rows.select("*", F.filter(F.coalesce(calls, F.array().cast(CALLS)), lambda c: c.isNotNull() & c["name"].isNotNull()).alias("calls"), result_of.alias("result_of"))
+    rows = rows.select("*", F.filter(F.coalesce(calls, F.array().cast(CALLS)), lambda c: c.isNotNull()).alias("calls"), result_of.alias("result_of"))
     rows = rows.select("*", F.when((F.size("calls") > 0) | F.col("result_of").isNotNull(), F.coalesce(F.get_json_object("text", "$.content"), F.lit(""))).otherwise(F.col("text")).alias("content"))
     talk = rows.where((F.size("calls") == 0) & F.col("result_of").isNull())
     asks, results = rows.where(F.size("calls") > 0), rows.where((F.size("calls") == 0) & F.col("result_of").isNotNull())
@@ -88,8 +97,10 @@ def format_messages(messages: DataFrame, tools: dict[str, dict[str, tuple[str, b
     schemas = F.broadcast(spark.createDataFrame(schemas, "name string, schema array<struct<argument:string,type:string,required:boolean>>"))
     calling = asks.withColumn("row", F.monotonically_increasing_id()).select("row", *done, "content", F.posexplode("calls").alias("k", "c"))
     calling = calling.select("*", F.col("c.id").alias("id"), F.col("c.name").alias("name")).join(schemas, "name", "left").join(first, ["conv_id", "id"], "left").join(answers, ["conv_id", "id"], "left")
-    found = F.concat(problems(F.col("c.arguments"), F.col("schema")), F.when(F.col("id").isNull(), F.array(F.lit("no id"))).when((F.col("first.turn") != F.col("turn")) | (F.col("first.k") != F.col("k")), F.array(F.lit("an id used before"))).otherwise(none))
-    call = F.struct(F.coalesce(F.col("c.arguments"), F.parse_json(F.lit("{}"))).alias("arguments"), F.col("id"), F.col("name"))
+    found = F.concat(problems(F.col("c.arguments"), F.col("schema")), F.when(F.col("id").isNull(), F.array(F.lit("no id"))).when(F.col("name").isNull(), F.array(F.lit("no name"))).when((F.col("first.turn") != F.col("turn")) | (F.col("first.k") != F.col("k")), F.array(F.lit("an id used before"))).otherwise(none))
+    raw = F.coalesce(F.col("c.arguments"), F.lit("{}"))
+    # what can't be parsed stays as a string
+    call = F.struct(F.coalesce(F.try_parse_json(raw), raw.cast("variant")).alias("arguments"), F.col("id"), F.col("name"))
     calling = calling.groupBy("row", *done, "content").agg(F.array_sort(F.collect_list(F.struct("k", F.to_json(call).alias("call"), F.transform(found, lambda p: F.concat_ws(" ", "name", p)).alias("found")))).alias("each"), F.sum(F.when(F.col("answers") > 0, 1).otherwise(0)).cast("bigint").alias("n_answered"))
     whole = F.concat(F.substring(message(), F.lit(1), F.length(message()) - 1), F.lit(',"tool_calls":['), F.array_join(F.col("each.call"), ","), F.lit("]}"))
     calling = calling.select(*done, F.col("turn").alias("order_turn"), F.lit(0).alias("order_rank"), F.size("each").alias("n_calls"), "n_answered", F.flatten("each.found").alias("problems"), F.lit(None).cast("boolean").alias("linked"), whole.alias("message"))

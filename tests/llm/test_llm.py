@@ -115,7 +115,7 @@ def test_media_round_trip(docs, empty):
 
 def test_warc(spark):
     big, other = "é" * 60, "z" * 99
-    rows = [(5, "http://B.example.com:80/x y?q", big), (3, "https://a.example.com/", big), (9, "https://a.example.com/", big), (1, None, None), (2, "http://a/", other), (4, "http://a/", other), (7, "nonsense\r\nX: y", "a\r\n\r\nb" * 40), (None, "http://n/", big), (9, "https://a.example.com/", big)]
+    rows = [(5, "http://B.example.com:80/x y?q", big), (3, "https://a.example.com/", big), (9, "https://a.example.com/", big), (1, None, None), (2, "http://a/", other), (4, "http://a/", other), (7, "nonsense\r\nX: y", "a\r\n\r\nb" * 40), (None, "http://n/", big), (9, "https://a.example.com/", big), (9, "https://a.example.com/", "w" * 200)]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id bigint, url string, html string, key string, kind int")
     folder = shared_folder(spark, "warc")
     top = warc.write_archives(pages, folder)
@@ -350,6 +350,24 @@ def test_top_k(spark):
     assert not got
 
 
+def test_top_k_of_repeated_queries_and_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(100, 4)).round(2)
+    rows = [*((i, v.tolist()) for i, v in enumerate(x)), (50, x[50].tolist()), (200, [1e300, 0.0, 0.0, 0.0]), (250, [1e300, -1e300, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    clip = lambda z: min(2**63 - 1, max(-(2**63), z))
+    v = [(i, [int(np.floor(c * 256)) if abs(c) < 1e15 else clip(int(c)) for c in e]) for i, e in rows]
+    want = []
+    for q, a in v:
+        if q % 50 == 0:
+            scored = sorted(((sum(c * d for c, d in zip(a, b)), i) for i, b in v if i != q), key=lambda t: (-t[0], t[1]))[:5]
+            want += [(q, k + 1, clip(score)) for k, (score, _) in enumerate(scored)]
+    got = [(r.query_id, r["rank"], r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()]
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
+
+
 def test_licenses(spark, empty):
     texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
     families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
@@ -396,3 +414,80 @@ def test_chat(spark):
     for r in out:
         assert json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.message
     assert chat.format_messages(df, chat.TOOLS).count() == len(rows) and chat.format_messages(df.where("turn > 9"), {"t": {}}).count() == 0
+
+
+def brute_links(conversation):
+    """order of the turns, what links, and the calls with their problems, by dictionaries."""
+    first, out = {}, {}
+    calls = sorted((turn, k, c) for turn, role, body in conversation if role == "assistant" and body for k, c in enumerate(body))
+    for turn, k, c in calls:
+        if c[0] is not None:
+            first.setdefault(c[0], (turn, k))
+    answered = {body for _, role, body in conversation if role == "tool"}
+    order = []
+    for turn, role, body in conversation:
+        if role == "tool":
+            at = first.get(body, (None,))[0]
+            order.append((max(turn, at) if at is not None else turn, int(at is not None and at >= turn), turn))
+            out[turn] = ("result", at is not None)
+        elif body:
+            order.append((turn, 0, turn))
+            found = []
+            for k, (i, name, given) in enumerate(body):
+                if name == "search":
+                    kinds = {a: type(v) for a, v in given.items()}
+                    found += sorted([f"search {a}: not in the schema" for a in kinds if a not in ("query", "limit")] + [f"search {a}: not of its type" for a, t in (("query", str), ("limit", int)) if a in kinds and kinds[a] is not t] + ["search query: missing"] * ("query" not in kinds))
+                else:
+                    found.append(f"{name} unknown tool")
+                if i is None:
+                    found.append(f"{name} no id")
+                elif first[i] != (turn, k):
+                    found.append(f"{name} an id used before")
+            out[turn] = ("call", len(body), sum(i in answered for i, _, _ in body), found)
+        else:
+            order.append((turn, 0, turn))
+            out[turn] = ("plain",)
+    return [t for *_, t in sorted(order)], out
+
+
+def test_linked_conversations_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pick = lambda *x: x[int(rng.integers(0, len(x)))]
+    conversations, rows = {}, []
+    for conv in range(40):
+        turns = []
+        for turn in range(int(rng.integers(1, 12))):
+            role = pick("user", "assistant", "tool")
+            if role == "tool":
+                body = pick("a", "b", "c", "zz")
+                text = json.dumps({"tool_call_id": body, "content": "ok"})
+            elif role == "assistant" and rng.random() < 0.7:
+                body = [(pick("a", "b", "c", None), pick("search", "search", "nope"), {a: pick("x", 3, [1], True) for a in ("query", "limit", "more") if rng.random() < 0.5}) for _ in range(int(rng.integers(1, 4)))]
+                text = json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": g} for i, n, g in body]})
+            else:
+                body, text = None, "words"
+            turns.append((turn, role, body))
+            rows.append((conv, turn, role, text))
+        conversations[conv] = turns
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), chat.TOOLS)
+    got = {}
+    for r in out.orderBy("conv_id", "order_turn", "order_rank", "turn").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for conv, turns in conversations.items():
+        order, want = brute_links(turns)
+        assert [r.turn for r in got[conv]] == order
+        for r in got[conv]:
+            w = want[r.turn]
+            if w[0] == "call":
+                assert (r.n_calls, r.n_answered, sorted(r.problems)) == (*w[1:3], sorted(w[3]))
+            assert r.linked == (w[1] if w[0] == "result" else None)
+
+
+def test_arguments_that_are_no_object(spark):
+    call = lambda arguments: '{"tool_calls":[{"id":"a","name":"search","arguments":' + arguments + "}]}"
+    texts = [call('"q"'), call("[1]"), call('{"query":"q","query":"r"}'), call('"{\\"query\\":\\"q\\"}"'), '{"tool_calls":[{"id":"a","arguments":{"query":"q"}}]}']
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)]
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), chat.TOOLS).orderBy("conv_id").collect()
+    unread = ["search arguments: not JSON, or with a repeated key"]
+    assert [r.problems for r in out] == [unread, ["search arguments: not an object"], unread, [], ["unknown tool", "no name"]]
+    assert [json.loads(r.message)["tool_calls"][0]["arguments"] for r in out] == ["q", [1], '{"query":"q","query":"r"}', {"query": "q"}, {"query": "q"}]
