@@ -1,14 +1,17 @@
 """Licence scans: a paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line. It becomes the set of its word 1-, 2- and 3-grams; a softmax regression with sparse weights over the grams of the training texts gives each licence family,
-and the class ``unknown``, a probability. A temperature fitted on texts that the weights haven't seen
-calibrates them. A family counts if its calibrated probability is PROBABLE or more and one of its
+A paragraph is a run of lines up to a blank line or a line that ends a sentence, so that a notice that
+is wrapped is one again. Where a paragraph of several lines gives no licence, its lines are judged by
+themselves. A paragraph becomes the set of its word 1-, 2- and 3-grams; a softmax regression with sparse
+weights over the grams of the training texts gives each licence family, and the class ``unknown``, a
+probability. A temperature calibrates them: it is fitted to the probabilities that each training text
+gets from weights trained without it, a fold of the texts at a time. A family counts if its calibrated probability is PROBABLE or more and one of its
 templates shares ALIKE of its 2-grams, or of the paragraph's if those are fewer, with the paragraph.
 
 The model is trained on the driver, on the fixed texts below and nothing else. The scan is DataFrame
-functions. Every line's 2-grams are compared with the templates', which is narrow; a line that shares too
-few with each template can't be confirmed, whatever its probabilities, so only the others are exploded
-into grams. These meet the weights in a broadcast join, as their table has a size fixed by the texts below.
+functions. The 2-grams of every paragraph are compared with the templates', which is narrow; one that
+shares too few with each template can't be confirmed, whatever its probabilities, so only the others are
+exploded into grams. Equal ones are judged once. These meet the weights in a broadcast join, as their table has a size fixed by the texts below.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
         "This project is released under the Apache License 2.0. SPDX-License-Identifier: Apache-2.0",
+        "Licensed under Apache 2.0.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -56,7 +60,8 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Licensed under the BSD 2-Clause License. SPDX-License-Identifier: BSD-3-Clause",
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -94,13 +99,17 @@ OTHERS = [
     "Please read the licence.", "Which licence applies is not known.", "The licence of this text is unclear.", "Ask the author for permission.", "Copyright law is hard.", "All rights come with duties.",
     "Under the terms of the treaty both sides withdraw.",
 ]
-#: Words of licence notices; lines with one are counted, others are judged all the same.
+#: Words of licence notices; paragraphs with one are counted, others are judged all the same.
 ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|all rights reserved|unauthorized copying|public domain|creative commons|cc0|mpl|spdx"
 UNKNOWN = "unknown"
 #: Least calibrated probability and share of common 2-grams.
 PROBABLE, ALIKE = 0.5, 0.6
 #: Penalty, steps and rate of the training.
 PENALTY, STEPS, RATE = 1e-3, 400, 2.0
+#: Parts of the training texts that are left out in turn for the temperature.
+FOLDS = 4
+#: Where a paragraph ends: after a line that ends a sentence, and at blank lines.
+PARAGRAPH_END = r"(?<=[.!?:;])[ \t]*[\r\n]+|\R[ \t]*\R\s*"
 
 
 def words_of(text: str) -> list[str]:
@@ -116,43 +125,44 @@ def soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-@lru_cache(maxsize=1)
-def train() -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Classes, grams, weights (a row per gram) and intercepts, divided by the temperature."""
-    classes = [*TEMPLATES, UNKNOWN]
-    texts = [(t, c) for c, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHERS]
-    # besides each text its halves, as lines break anywhere; the second halves are kept from the weights for the temperature
-    fit, held = [], []
-    for text, c in texts:
-        w = words_of(text)
-        fit.append((w, c))
-        if len(w) >= 12:
-            fit.append((w[: 2 * len(w) // 3], c))
-            held.append((w[len(w) // 3 :], c))
-        else:
-            held.append((["this", "file", "is", *w], c))
-    grams = sorted(set().union(*(grams_of(w) for w, _ in fit)))
-    at = {g: i for i, g in enumerate(grams)}
-
-    def rows(found: list[tuple[list[str], str]]) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.zeros((len(found), len(grams))), np.zeros((len(found), len(classes)))
-        for i, (w, c) in enumerate(found):
-            x[i, [at[g] for g in grams_of(w) if g in at]] = 1
-            y[i, classes.index(c)] = 1
-        return x, y
-
-    x, y = rows(fit)
+def regress(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of the softmax regression; every class weighs the same."""
     weigh = 1 / y.sum(0)[y.argmax(1)]
     weigh = (weigh / weigh.sum())[:, None]
-    w, b = np.zeros((len(grams), len(classes))), np.zeros(len(classes))
+    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
     for _ in range(STEPS):
         gap = (soft(x @ w + b) - y) * weigh
         w -= RATE * (x.T @ gap + PENALTY * w)
         b -= RATE * gap.sum(0)
     w[np.abs(w) < 1e-3] = 0
-    x, y = rows(held)
-    loss = lambda t: -np.log((soft((x @ w + b) / t) * y).sum(1) + 1e-12).mean()
+    return w, b
+
+
+@lru_cache(maxsize=1)
+def train() -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Classes, grams, weights (a row per gram) and intercepts, divided by the temperature."""
+    classes = [*TEMPLATES, UNKNOWN]
+    texts = [(t, c) for c, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHERS]
+    # besides each text its first two thirds, as lines break anywhere; both are in one fold
+    found, fold = [], []
+    for i, (text, c) in enumerate(texts):
+        w = words_of(text)
+        parts = [w, w[: 2 * len(w) // 3]] if len(w) >= 12 else [w]
+        found += [(p, c) for p in parts]
+        fold += [i % FOLDS] * len(parts)
+    grams = sorted(set().union(*(grams_of(w) for w, _ in found)))
+    at = {g: i for i, g in enumerate(grams)}
+    x, y, fold = np.zeros((len(found), len(grams))), np.zeros((len(found), len(classes))), np.array(fold)
+    for i, (w, c) in enumerate(found):
+        x[i, [at[g] for g in grams_of(w)]] = 1
+        y[i, classes.index(c)] = 1
+    unseen = np.zeros_like(y)
+    for f in range(FOLDS):
+        w, b = regress(x[fold != f], y[fold != f])
+        unseen[fold == f] = x[fold == f] @ w + b
+    loss = lambda t: -np.log((soft(unseen / t) * y).sum(1) + 1e-12).mean()
     t = min((0.25 * 1.15**i for i in range(30)), key=loss)
+    w, b = regress(x, y)
     return classes, grams, w / t, b / t
 
 
@@ -190,19 +200,26 @@ def confirmable(line: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_paragraphs, n_anchored, n_licensed, licenses (families, sorted, comma-joined), top_probability.
 
-    A null text counts as empty: no paragraphs, no licences, a null top_probability. Rows that share
-    id and text give one row each with equal values; an empty table gives no rows; only the two
+    n_licensed counts pairs of a paragraph, or line, and a family that it gives; n_anchored counts
+    paragraphs with a word of notices and decides nothing. Of families that tie the first in the order of
+    the training texts is predicted. A null text counts as empty: no paragraphs, no licences, a null
+    top_probability. Paragraphs of any length are judged whole. Rows that share id and text give one row each with equal values; an empty table gives no rows; only the two
     columns named are read.
     """
     spark = docs.sparkSession
     classes, grams, weights, intercepts = train()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lines.alias("lines"))
-    rows = rows.select("doc_id", F.size("lines").cast("bigint").alias("n_paragraphs"), F.size(F.filter("lines", lambda x: x.rlike(ANCHORS))).cast("bigint").alias("n_anchored"), F.filter("lines", confirmable).alias("alike"))
+    full = lambda parts: F.filter(parts, lambda x: F.length(F.trim(x)) > 0)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), full(F.split(text, PARAGRAPH_END)).alias("parts"))
+    # a paragraph as itself, then its lines, where it has several
+    alone = lambda x, i: F.array(F.struct(i.alias("part"), F.lit(False).alias("is_line"), x.alias("line")))
+    lines = lambda x, i: F.transform(full(F.split(x, r"[\r\n]+")), lambda l: F.struct(i.alias("part"), F.lit(True).alias("is_line"), l.alias("line")))
+    units = F.flatten(F.transform("parts", lambda x, i: F.when(F.trim(x).rlike(r"[\r\n]"), F.concat(alone(x, i), lines(x, i))).otherwise(alone(x, i))))
+    n_anchored = F.size(F.filter("parts", lambda x: x.rlike(ANCHORS))).cast("bigint")
+    rows = rows.select("doc_id", F.size("parts").cast("bigint").alias("n_paragraphs"), n_anchored.alias("n_anchored"), F.filter(units, lambda u: confirmable(u["line"])).alias("alike"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "alike")  # numbered once for all that follows
-    # lines like a template are short of all text; those that are equal are judged once
-    found = rows.select(F.explode("alike").alias("line")).distinct().withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (1, 2, 3)))
+    # what is like a template is short of all text; what is equal is judged once
+    found = rows.select(F.explode("alike.line").alias("line")).distinct().withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (1, 2, 3)))
     model = F.broadcast(spark.createDataFrame([(g, [float(v) for v in weights[i]]) for i, g in enumerate(grams) if weights[i].any()], "gram string, w array<double>"))
     sums = [F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + float(intercepts[k]) for k in range(len(classes))]
     scores = found.select("line", F.explode_outer("grams").alias("gram")).join(model, "gram", "left").groupBy("line").agg(F.array(*sums).alias("s"))
@@ -214,8 +231,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = best.withColumn("words", words_in(F.col("line"))).withColumn("grams", grams_in(F.col("words"), (2,))).select("line", "p", "family", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
     alike = pairs.join(templates, ["family", "gram"]).groupBy("line", "p", "family", "template", "own", "size").agg(F.count("*").alias("both")).where(F.col("both") >= ALIKE * F.least("own", "size"))
     judged = alike.groupBy("line", "family").agg(F.max("p").alias("p"))
-    # back to the documents, as far as they hold a judged line; a sort-merge join, where it is one, splits a line that is everywhere
-    hits = rows.where(F.size("alike") > 0).select("row", F.explode("alike").alias("line")).join(judged, "line")
+    # back to the documents, as far as they hold a judged one; a sort-merge join, where it is one, splits a line that is everywhere
+    hits = rows.where(F.size("alike") > 0).select("row", F.inline("alike")).join(judged, "line")
+    # a paragraph that gives a licence decides for its lines
+    hits = hits.groupBy("row", "part").agg(F.min("is_line").alias("by_lines"), *(F.collect_list(F.when(F.col("is_line") == of, F.struct("family", "p"))).alias(n) for of, n in ((False, "whole"), (True, "lines"))))
+    hits = hits.select("row", F.explode(F.when(F.col("by_lines"), F.col("lines")).otherwise(F.col("whole"))).alias("hit")).select("row", "hit.*")
     hits = hits.groupBy("row").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"), F.round(F.max("p"), 6).alias("top_probability"))
     return rows.join(hits, "row", "left").select("doc_id", "n_paragraphs", "n_anchored", F.coalesce("n_licensed", F.lit(0).cast("bigint")).alias("n_licensed"), F.coalesce("licenses", F.lit("")).alias("licenses"), "top_probability")
 

@@ -378,6 +378,55 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+WRAPPED = {
+    "GPL": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+}
+
+
+def test_licenses_wrapped_over_lines(spark):
+    """Notices as files hold them, in words that differ here and there from the training texts, between other paragraphs."""
+    rows = [f"Some words about a thing\n\n{t}\n\nOther words.\n" for t in WRAPPED.values()] + ["License: MIT. Released under the MIT License\nand more text without an end\nthat goes on and on about the weather of the week"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [*WRAPPED, "MIT"]
+
+
+def test_license_scores_equal_a_plain_scorer(spark):
+    classes, grams, weights, intercepts = licenses.train()
+    at = {g: i for i, g in enumerate(grams)}
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + [t.replace("\n", " ") for t in WRAPPED.values()] + licenses.OTHERS
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t.rstrip(".")) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()}
+    told = 0
+    for i, t in enumerate(texts):
+        found = licenses.grams_of(licenses.words_of(t))
+        score = np.array(intercepts) + sum((weights[at[g]] for g in found if g in at), np.zeros(len(classes)))
+        p = licenses.soft(score[None])[0]
+        own, family = set(licenses.two_grams_of(t)), classes[int(p.argmax())]
+        both = [len(own & set(licenses.two_grams_of(x))) >= licenses.ALIKE * min(len(own), len(licenses.two_grams_of(x))) for x in licenses.TEMPLATES.get(family, [])]
+        want = family if p.max() >= licenses.PROBABLE and any(both) else ""
+        assert got[i].licenses == want
+        if want:
+            told += 1
+            assert abs(got[i].top_probability - p.max()) < 1e-5
+    assert told > 30
+
+
+def test_license_probabilities_are_calibrated():
+    """Expected calibration error of texts that the weights haven't seen: the wrapped notices and other sentences."""
+    classes, grams, weights, intercepts = licenses.train()
+    at = {g: i for i, g in enumerate(grams)}
+    unseen = [*((t, f) for f, t in WRAPPED.items()), ("Content under CC BY 4.0.", "CC-BY"), ("Available under CC BY-SA 4.0.", "CC-BY-SA"), ("The weather was fine in the morning.", "unknown"), ("He wrote a letter to the committee.", "unknown")]
+    sure, right = [], []
+    for t, f in unseen:
+        score = np.array(intercepts) + sum((weights[at[g]] for g in licenses.grams_of(licenses.words_of(t)) if g in at), np.zeros(len(classes)))
+        p = licenses.soft(score[None])[0]
+        sure.append(p.max())
+        right.append(classes[int(p.argmax())] == f)
+    assert np.mean(right) >= 0.75 and abs(np.mean(sure) - np.mean(right)) < 0.3
+
+
 def test_licenses_in_words_of_their_own(spark):
     rows = ["Available under CC BY-SA 4.0.", "Content under CC BY 4.0.", "Released under Apache 2.0.", "Code: BSD-3-Clause.", "under the terms of the", "to the", "one", "-"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
