@@ -7,6 +7,8 @@ Java's own class for them depends on its version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
 _CLASS = r"\t\n\x0B\f\r " + "".join(f"\\u{c:04X}" for c in SPACES)
 WS = f"[{_CLASS}]"
 NOT_WS = f"[^{_CLASS}]"
+#: White space other than the space itself.
+_BLANKS = "\t\n\x0B\f\r" + "".join(map(chr, SPACES))
 QUOTES = "\"'“”"
 
 
@@ -25,13 +29,23 @@ def chain(x: Column, *steps: tuple[str, str]) -> Column:
     return x
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def plain_spaces(x: Column) -> Column:
+    """All white space as spaces, in one pass."""
+    return F.translate(x, _BLANKS, " " * len(_BLANKS))
+
+
 def trim(x: Column) -> Column:
-    return chain(x, (rf"\A{WS}+", ""), (rf"{WS}+\z", ""))
+    return F.btrim(x, F.lit(" " + _BLANKS))
 
 
 def collapse(x: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return trim(F.regexp_replace(x, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(plain_spaces(x), " {2,}", " "))
 
 
 def untag(x: Column) -> Column:
@@ -53,7 +67,7 @@ def unlink(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.filter(F.split(x, f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(plain_spaces(x), " +"), lambda w: w != "")
 
 
 def token_count(x: Column, images: bool = False) -> Column:
@@ -64,9 +78,9 @@ def token_count(x: Column, images: bool = False) -> Column:
 
 
 def first_sentences(x: Column, most: int = 240) -> Column:
-    clean = collapse(F.regexp_replace(untag(x), "[#*_>`]", ""))
-    cut = F.regexp_replace(F.substring(clean, 1, most), rf"{WS}+{NOT_WS}*\z", "")
-    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(cut, F.lit("…")))
+    clean = collapse(F.translate(untag(x), "#*_>`", ""))
+    cut = lambda c: F.regexp_replace(F.substring(c, 1, most), r" [^ ]*\z", "")
+    return once(clean, lambda c: F.when(F.length(c) <= most, c).otherwise(F.concat(cut(c), F.lit("…"))))
 
 
 def search_text(x: Column, most: int) -> Column:

@@ -1,13 +1,14 @@
 """Cross references: see-also links, mentions of titles in texts, backlinks, provenance and related documents.
 
-mention_join meets titles and texts by an equi-join on a title's first word: a text is tokenised once,
-only its distinct words that begin some title are kept, and the exact pattern is applied to those
-pairs. No text is compared with all titles.
+mention_join meets titles and texts by an equi-join on a title's first two words, or its only one: a
+text is tokenised once, and only its keys are exploded, without the text. Texts meet the pairs that are
+left, which are hardly more than the result, once, and the exact pattern is applied to these. No text is
+compared with all titles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -22,14 +23,38 @@ def mention_join(terms: DataFrame, docs: DataFrame, least: int = 4, normalised:
     """
     size = F.length(T.norm_title(F.col("title"))) if normalised else F.length("title")
     needles = terms.where(size >= least).select(F.col("slug").alias("term"), T.norm_title(F.col("title")).alias("needle"), T.mention_regex(F.col("title")).alias("pattern"))
-    needles = needles.withColumn("first", F.regexp_extract("needle", ASCII_WORD, 0))
-    texts = docs.select(F.col("slug").alias("doc"), F.col("text"))
-    # a word beside a needle's punctuation may go on outside ASCII, so words are ASCII runs on both sides
-    words = texts.select("doc", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ASCII_WORD), F.lit(0)))).alias("first"))
-    keyed = words.join(needles.where("first <> ''"), "first").where(F.expr("text rlike pattern")).select("term", "doc")
-    # titles without an ASCII word are rare; their edges need one beside them, so they are matched as they are
-    odd = texts.join(needles.where("first = ''"), F.expr("text rlike pattern")).select("term", "doc")
-    return keyed.union(odd).distinct()
+    runs = words_of(F.col("needle"))
+    # a title without an ASCII word goes by its first character
+    key = F.when(F.size(runs) > 1, F.concat_ws(" ", F.slice(runs, 1, 2))).when(F.size(runs) == 1, runs[0]).otherwise(F.substring("needle", 1, 1))
+    needles = needles.withColumn("key", F.lower(key)).drop("needle")
+    # two versions of a document may share its name
+    texts = docs.select(F.col("slug").alias("doc"), F.xxhash64("text").alias("version"), "text")
+    # which kinds of keys there are: three at most
+    kinds = {r["kind"] for r in needles.select(kind_of(F.col("key")).alias("kind")).distinct().collect()}
+    pairs = texts.select("doc", "version", F.explode(keys_of(F.lower("text"), kinds)).alias("key")).join(needles, "key").select("doc", "version", "term", "pattern")
+    return pairs.join(texts, ["doc", "version"]).where(F.expr("text rlike pattern")).select("term", "doc").distinct()
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD), F.lit(0))
+
+
+def kind_of(key: Column) -> Column:
+    return F.when(~key.rlike(ASCII_WORD), "odd").when(F.contains(key, F.lit(" ")), "pair").otherwise("word")
+
+
+def keys_of(text: Column, kinds: set[str]) -> Column:
+    """Distinct keys of a text, of the kinds asked for: ASCII words, pairs of them that follow each other, characters outside words and the empty string."""
+    # a word beside a title's punctuation may go on outside ASCII, so words are ASCII runs on both sides
+    two = lambda w: F.array_compact(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    keys = [F.array().cast("array<string>")]
+    if "word" in kinds:
+        keys.append(F.array_distinct(words_of(text)))
+    if "pair" in kinds:
+        keys.append(F.array_distinct(T.once(words_of(text), two)))
+    if "odd" in kinds:
+        keys += [F.array(F.lit("")), F.array_remove(F.array_distinct(F.split(F.regexp_replace(text, "[a-z0-9_]+", ""), "")), "")]
+    return F.concat(*keys)
 
 
 def see_also(terms: DataFrame) -> DataFrame:
@@ -67,25 +92,42 @@ def provenance(terms: DataFrame, docs: DataFrame) -> DataFrame:
     return mention_join(terms, both)
 
 
+def first_of(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def related_docs(docs: DataFrame, mentions: DataFrame, most: int = 5) -> DataFrame:
     """(src, dst, shared, same, rank): by the number of shared terms, then the same collection, then the order of the input.
 
-    Pairs that share a term come from a join on the term. Of the others of a collection only the first can
-    be needed: each document takes as many from the collection's head as it may lack, never the whole.
+    Documents of one set of terms share as many terms with any other document, so sets meet on their
+    terms and not documents: a term that most documents hold gives pairs of distinct sets only. Of a
+    set's documents in a collection only the first can be needed, as they come by the order of the
+    input. Of documents without a shared term only the first of the collection can be: each document
+    takes as many of them as it may lack, never the whole.
     """
     d = docs.select("slug", "collection", "ord")
-    a, b = mentions.select("term", F.col("doc").alias("src")), mentions.select("term", F.col("doc").alias("dst"))
-    shared = a.join(b, "term").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    sets = mentions.groupBy(F.col("doc").alias("slug")).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    text = F.array_join("terms", "\x1f")
+    sets = sets.select("slug", "terms", F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text))).alias("own"))
+    own = d.join(sets.select("slug", "own"), "slug", "left")
+    of_set = sets.groupBy("own").agg(F.first("terms").alias("terms")).select("own", F.explode("terms").alias("term"))
+    pairs = of_set.join(of_set.withColumnRenamed("own", "other"), "term").groupBy("own", "other").agg(F.count("*").alias("shared"))
+    # one more than asked for, as a document may stand in its own list
+    heads = first_of(own.where("own is not null"), ["own", "collection"], ["ord"], most + 1)
+    heads = heads.select(F.col("own").alias("other"), F.col("slug").alias("dst"), F.col("collection").alias("c_dst"), F.col("ord").alias("o_dst"))
+    found = first_of(pairs.join(heads, "other"), ["own", "shared", "c_dst"], ["o_dst"], most + 1).drop("other", "place")
+    asked = own.where("own is not null").select("own", F.col("collection").alias("c_src")).distinct()
+    same = (F.col("c_src") == F.col("c_dst")).cast("int")
+    order = [F.desc("shared"), F.desc("same"), "o_dst"]
+    lists = first_of(asked.join(found, "own").withColumn("same", same), ["own", "c_src"], order, most + 1).drop("place")
+    lists = lists.withColumnRenamed("own", "of")
+    src = own.select(F.col("slug").alias("src"), "own", "collection")
+    shared = src.join(lists, (F.col("own") == F.col("of")) & F.col("collection").eqNullSafe(F.col("c_src"))).where("src <> dst").select("src", "dst", "shared", "same", "o_dst")
+    # how far a document looks: what it lacks, itself, and those partners of its own that may stand in the way
     n_shared = shared.groupBy("src").agg(F.count("*").alias("n"))
-    head = Window.partitionBy("collection").orderBy("ord")
-    heads = d.withColumn("place", F.row_number().over(head))
-    # how far a document looks: what it takes, itself, and those partners of its own that may stand in the way
-    reach = d.join(n_shared.withColumnRenamed("src", "slug"), "slug", "left").where(F.coalesce("n", F.lit(0)) < most)
-    depth = reach.select(F.col("slug").alias("src"), "collection", (F.lit(most + 1) + F.coalesce("n", F.lit(0))).alias("depth"))
-    tail = depth.join(heads.where(F.col("place") <= 2 * most).select(F.col("slug").alias("dst"), "collection", "place"), "collection").where("place <= depth and src <> dst")
-    tail = tail.join(shared, ["src", "dst"], "left_anti").select("src", "dst", F.lit(0).cast("bigint").alias("shared"))
-    every = shared.unionByName(tail)
-    side = lambda x: d.select(F.col("slug").alias(x), F.col("collection").alias(f"c_{x}"), F.col("ord").alias(f"o_{x}"))
-    every = every.join(side("src"), "src").join(side("dst"), "dst").withColumn("same", (F.col("c_src") == F.col("c_dst")).cast("int"))
-    w = Window.partitionBy("src").orderBy(F.desc("shared"), F.desc("same"), "o_dst")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("src", "dst", "shared", "same", "rank")
+    reach = src.join(n_shared, "src", "left").where(F.coalesce("n", F.lit(0)) < most).select("src", "collection", (F.lit(most + 1) + F.coalesce("n", F.lit(0))).alias("depth"))
+    first = first_of(d, ["collection"], ["ord"], 2 * most).select(F.col("slug").alias("dst"), "collection", F.col("ord").alias("o_dst"), "place")
+    tail = reach.join(first, "collection").where("place <= depth and src <> dst").join(shared, ["src", "dst"], "left_anti")
+    tail = tail.select("src", "dst", F.lit(0).cast("bigint").alias("shared"), F.lit(1).alias("same"), "o_dst")
+    return first_of(shared.unionByName(tail), ["src"], order, most).select("src", "dst", "shared", "same", F.col("place").alias("rank"))

@@ -13,7 +13,7 @@ from corpusloom.streaming import ingest
 
 def test_mention_join_equals_the_nested_loop(spark):
     rng = random.Random(3)
-    words = ["alpha", "beta", "c++", "é", "don't", "x_1", "(q)", "Alpha", "naïve", "--", "日本"]
+    words = ["alpha", "beta", "  --", "c++", "é", "don't", "x_1", "(q)", "Alpha", "naïve", "--", "日本"]
     titles = [(f"t{i}", " ".join(rng.choices(words, k=rng.randint(1, 3)))) for i in range(40)]
     texts = [(f"d{i}", rng.choice(["", ".", "é"]).join(rng.choices([*words, " ", " ", ","], k=30))) for i in range(60)]
     t, d = spark.createDataFrame(titles, "slug string, title string"), spark.createDataFrame(texts, "slug string, text string")
@@ -152,5 +152,5 @@ def test_streams(spark, tmp_path):
 def test_mention_join_has_no_nested_loop_over_keyed_titles(spark):
     t = spark.createDataFrame([("t", "alpha beta")], "slug string, title string")
     d = spark.createDataFrame([("d", "alpha beta")], "slug string, text string")
-    plan = xref.mention_join(t, d)._jdf.queryExecution().optimizedPlan().toString()
-    assert "first" in plan and plan.count("Join Inner") == 2
+    plan = xref.mention_join(t, d)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
