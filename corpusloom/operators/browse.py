@@ -16,9 +16,9 @@ def by_letter(terms: DataFrame, icu: bool = False) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).groupBy("letter").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "slug"))), lambda x: x["slug"]), ",").alias("slugs"))
 
 
-def facet_counts(docs: DataFrame, names: list[str], column: str = "collection") -> DataFrame:
-    """(name, n) of each of a fixed list of categories, zeros too."""
-    dim = docs.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
+def facet_counts(docs: DataFrame, names: list[str] | DataFrame, column: str = "collection") -> DataFrame:
+    """(pos, name, n) of each category of a list, or of a table (pos, name), zeros too."""
+    dim = names if isinstance(names, DataFrame) else docs.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, name string")
     counts = docs.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
     return dim.join(counts, "name", "left").select("pos", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 

@@ -268,6 +268,18 @@ def upsert_latest(spark, sf):
     return feeds.last_write(d)
 
 
+@query("""SELECT 'k' || doc_id AS slug, doc_id AS ord, 'labels' AS feed FROM labels
+UNION ALL SELECT 'k' || doc_id, doc_id, 'documents' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def feed_labels_first(spark, sf):
+    feed = lambda name: table(spark, sf, name).select(F.concat(F.lit("k"), F.col("doc_id")).alias("slug"), F.col("doc_id").alias("ord"), F.lit(name).alias("feed"))
+    return feeds.first_wins(feed("labels"), feed("documents"))
+
+
+@query("SELECT coalesce(text, '') AS slug, max(doc_id) AS ord FROM documents GROUP BY 1")
+def upsert_latest_text(spark, sf):
+    return feeds.last_write(table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("slug"), F.col("doc_id").alias("ord")))
+
+
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_left_anti(spark, sf):
     return feeds.missing_only(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
@@ -308,6 +320,29 @@ def term_related_capped(spark, sf):
     return xref.related_terms(terms(spark, sf))
 
 
+WORD_TERMS = f"t AS (SELECT 'item-' || item_id AS slug, list_extract({q_tokens('text')}, 2) AS title, text, item_id AS ord FROM benchmark WHERE len({q_tokens('text')}) > 1)"
+WORD_MENTIONS = TERM_MENTIONS.replace(TERMS, WORD_TERMS)
+
+
+def word_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of one word each, so that they mention each other and some more often than the cap allows."""
+    t = table(spark, sf_dir, "benchmark").where(F.size(T.tokens(F.col("text"))) > 1)
+    return t.select(F.concat(F.lit("item-"), F.col("item_id")).alias("slug"), F.get(T.tokens(F.col("text")), F.lit(1)).alias("title"), "text", F.col("item_id").alias("ord"))
+
+
+@query(f"WITH {WORD_MENTIONS} SELECT src, dst FROM tm")
+def word_term_mentions(spark, sf):
+    t = word_terms(spark, sf)
+    return xref.mention_join(t, t.select("slug", "text"), 5, True).where("term <> doc").select(F.col("doc").alias("src"), F.col("term").alias("dst"))
+
+
+@query(f"""WITH {WORD_MENTIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst_ord) AS r FROM tm), f12 AS (SELECT * FROM f WHERE r <= 12),
+e AS (SELECT src, dst, 0 AS p, r AS o FROM f12 UNION ALL SELECT dst, src, 1, src_ord FROM f12), g AS (SELECT src, dst, min((p, o)) AS o FROM e GROUP BY src, dst),
+h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY o) AS rank FROM g) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 12""")
+def word_term_related(spark, sf):
+    return xref.related_terms(word_terms(spark, sf))
+
+
 @query(f"WITH {MENTIONS} SELECT doc, count(*) AS n, string_agg(term, ',' ORDER BY term) AS terms FROM m GROUP BY doc")
 def terms_cited_by_doc(spark, sf):
     m = xref.provenance(terms(spark, sf), sources(spark, sf))
@@ -338,6 +373,13 @@ def document_terms(spark, sf):
 
 # -- browse
 
+
+@query("SELECT source AS name, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+def facet_counts_all(spark, sf):
+    s = sources(spark, sf)
+    return browse.facet_counts(s, s.where("collection is not null").select(F.col("collection").alias("name")).distinct().withColumn("pos", F.lit(0))).select("name", "n")
+
+
 COLLECTIONS = ["src3", "src0", "src7", "none"]
 _dim = ", ".join(f"({i}, '{c}')" for i, c in enumerate(COLLECTIONS))
 
