@@ -70,3 +70,56 @@ def set_number(text: Column, key: str, value: Column) -> Column:
 def preamble(body: Column, opening: str) -> Column:
     """The block quote that opens a body, with its rule, if its first line matches; else an empty string."""
     return F.regexp_extract(body, rf"\A{WS}*((?:> \*{opening}[^\n]*\n)(?:(?:>[^\n]*|[ \t]*)\n)*?(?:---[ \t]*(?:\n|\z)))", 1)
+
+
+def _last(header: Column, pattern: str) -> Column:
+    """What the last match captures that isn't blank, trimmed; null where there is none."""
+    found = F.transform(F.regexp_extract_all(header, F.lit(pattern), F.lit(1)), trim)
+    return F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(-1))
+
+
+def search_scalar(header: Column, key: str) -> Column:
+    """As the search reads a field: the value may stand on the next line, one quote at each end goes; null where blank."""
+    return F.nullif(chain(_last(header, rf"(?m)^{key}:\s*(.*)$"), (r"\A[\"']", ""), (r"[\"']\z", "")), F.lit(""))
+
+
+def map_scalar(header: Column, key: str) -> Column:
+    """As the map reads a field: within its line, all quotes at the ends go; null where the line has no value."""
+    return chain(_last(header, rf"(?m)^{key}:[ \t]*(.*)$"), (r"\A[\"']+", ""), (r"[\"']+\z", ""))
+
+
+def map_items(header: Column, key: str) -> Column:
+    """As the map reads a list: of lines only; empty where there is none."""
+    block = F.regexp_extract(header, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t].*(?:\n|\z))+)", 1)
+    found = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t](.+)$"), F.lit(1))
+    return F.transform(found, lambda x: chain(trim(x), (r"\A[\"']+", ""), (r"[\"']+\z", "")))
+
+
+def raw_header(text: Column) -> Column:
+    """(header, body): the header as it stands with both lines of dashes, the body without the line break after it.
+
+    Without a closing line the header is null and the body the whole text.
+    """
+    end = F.locate("\n---", text, 4)
+    whole = F.startswith(text, F.lit("---")) & (end > 0)
+    body = F.regexp_replace(F.substr(text, end + 4), r"\A\n", "")
+    return F.struct(F.when(whole, F.substr(text, F.lit(1), end + 3)).alias("header"), F.when(whole, body).otherwise(text).alias("body"))
+
+
+def listed(header: Column, key: str, compat: bool = False) -> Column:
+    """A list field that may also be one string of values between commas."""
+    parts = F.split(F.regexp_replace(F.coalesce(scalar(header, key, compat), F.lit("")), r"\A\[|\]\z", ""), ",")
+    values = F.filter(F.transform(parts, lambda x: unquote(x, compat)), lambda x: x != "")
+    found = items(header, key, compat)
+    return F.when(F.size(found) > 0, found).otherwise(values)
+
+
+def synthesised(slug: Column, title: Column, post_date: Column, url: Column, collection: str, author: str, base_url: str) -> Column:
+    """A header for a post that has none, from what its source says of it; all of that may be null."""
+    none = F.lit("")
+    return render([
+        ("title", F.coalesce(F.nullif(title, none), slug), "string"), ("collection", F.lit(collection), "string"), ("kind", F.lit("post"), "string"),
+        ("order", F.lit(0), "number"), ("date", F.nullif(F.substring(post_date, 1, 10), none), "string"), ("author", F.lit(author), "string"),
+        ("original_url", F.coalesce(F.nullif(url, none), F.concat(F.lit(base_url), slug)), "string"), ("excerpt", none, "string"),
+        ("word_count", F.lit(0), "number"), ("tags", F.array(F.lit(collection)), "list"), ("related", F.array().cast("array<string>"), "list"),
+    ])

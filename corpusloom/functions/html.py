@@ -22,6 +22,10 @@ BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "
 CLOSES = {"p": {"p"}, "li": {"li"}, **{b: {"p"} for b in BLOCKS - {"p"}}}
 #: Words in the class of a div that make it chrome.
 CHROME = ("youtube-wrap", "subscribe-widget", "subscription-widget", "paywall", "like-button", "share-dialog")
+#: Lines that are a newsletter's chrome, not text.
+CHROME_LINE = re.compile(r"\s*(?:Subscribe now\s*|Thanks for reading.*|Share this post\s*)", re.I)
+#: Round the number of a picture's place; HTML can't hold it, as it is removed before parsing.
+MARK = "\x00"
 
 
 class Node:
@@ -86,10 +90,10 @@ def captions(node: Node) -> list[Node]:
 
 
 class Writer:
-    """images: keep pictures, as Markdown; else only their captions."""
+    """images: keep pictures, as Markdown; else only their captions. With numbered a picture is a mark, in order from 1."""
 
-    def __init__(self, images: bool = False):
-        self.images = images
+    def __init__(self, images: bool = False, numbered: bool = False):
+        self.images, self.numbered, self.seen = images or numbered, numbered, 0
 
     def inline(self, nodes: list) -> str:
         out = []
@@ -101,7 +105,10 @@ class Writer:
             elif n.tag == "br":
                 out.append("\n")
             elif n.tag == "img":
-                if self.images and n.attrs.get("src"):
+                if self.numbered:
+                    self.seen += 1
+                    out.append(f"{MARK}IMG{self.seen}{MARK}")
+                elif self.images and n.attrs.get("src"):
                     out.append(f"![{n.attrs.get('alt', '')}]({n.attrs['src']})")
             elif n.tag in ("strong", "b", "em", "i"):
                 mark, text = "**" if n.tag in ("strong", "b") else "*", self.inline(n.children)
@@ -194,6 +201,33 @@ def to_markdown(html: str | None, images: bool = False) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
 
 
+def to_numbered(html: str | None) -> str | None:
+    """Markdown with a mark for each picture, without chrome lines, zero-width spaces and byte order marks."""
+    if html is None:
+        return None
+    clean = re.sub("[\u200b\ufeff]", "", html.replace(MARK, ""))
+    text = "\n\n".join(Writer(numbered=True).blocks(parse(clean).children))
+    text = "\n".join(line.rstrip(" \t") for line in text.split("\n") if not CHROME_LINE.fullmatch(line))
+    return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
+
+
+def html_to_numbered_markdown(html: Column) -> Column:
+    """Markdown of each row's HTML with marks for its pictures; null stays null."""
+
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(to_numbered, na_action="ignore")
+
+    return F.pandas_udf(convert, "string")(html)
+
+
+def place_images(markdown: Column, images: Column) -> Column:
+    """The marks replaced by Markdown of images, an array in order; marks beyond it, or of null elements, are removed."""
+    shown = F.transform(images, lambda x, i: F.struct(F.concat(F.lit(f"{MARK}IMG"), (i + 1).cast("string"), F.lit(MARK)).alias("mark"), F.coalesce(x, F.lit("")).alias("md")))
+    filled = F.aggregate(shown, markdown, lambda text, s: F.replace(text, s["mark"], s["md"]))
+    return F.regexp_replace(filled, f"{MARK}IMG[0-9]+{MARK}", "")
+
+
 def html_to_markdown(html: Column, images: bool = False) -> Column:
     """Markdown of each row's HTML; null stays null."""
 

@@ -54,6 +54,35 @@ def knn_graph(vectors: DataFrame, k: int = NEIGHBOURS, digits: int = 9) -> DataF
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "cosine")
 
 
+#: Components of a text's vector.
+WIDTH = 256
+
+
+def text_vectors(docs: DataFrame, key: str = "id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, embedding): TF-IDF of words hashed to ``width`` components, of length 1; texts without a word have none.
+
+    Stands in where no sentence model is at hand. Words are counted per text and component before the shuffle, and
+    texts don't go along; a component's document frequency is of all texts.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    slot = F.pmod(F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("int"), F.lit(width))
+    tf = docs.select(key, word.alias("w")).select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("slot").agg(F.count("*").alias("df"))  # width rows
+    n = docs.agg(F.count("*").alias("docs"))
+    weight = F.col("tf") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
+    rows = tf.join(F.broadcast(df.join(F.broadcast(n))), "slot").select(key, "slot", weight.alias("weight"))
+    held = rows.groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    slots = F.sequence(F.lit(0), F.lit(width - 1))
+    # the map is the variable of a lambda, so that it is built once, not for each component
+    dense = F.transform(F.array(F.map_from_entries("v")), lambda m: F.transform(slots, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / F.col("norm")))
+    return held.select(key, F.get(dense, F.lit(0)).alias("embedding"))
+
+
+def point_rows(rows: DataFrame, kind: str, url: Column, subtitle: str = "subtitle") -> DataFrame:
+    """Points of a collection without coordinates; an empty subtitle is null."""
+    return rows.select(F.concat(F.lit(f"{kind}:"), "slug").alias("id"), "slug", F.lit(kind).alias("type"), "title", F.nullif(subtitle, F.lit("")).alias("subtitle"), url.alias("url"))
+
+
 def layout(vectors: DataFrame, dims: int) -> DataFrame:
     """(vec_id, p): coordinates on the first principal axes, rounded to 4 places; each axis' largest loading is positive.
 

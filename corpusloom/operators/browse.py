@@ -50,3 +50,45 @@ def document(docs: DataFrame, mentions: DataFrame, related: DataFrame, terms: Da
 def overview(terms: DataFrame, docs: DataFrame, featured: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
     """The featured terms with their previews, and counts per category."""
     return terms.where(F.col("slug").isin(featured)).select("slug", "title", T.preview(F.col("text")).alias("preview")), facet_counts(docs, names)
+
+
+def filter_counter(terms: DataFrame, query: str) -> DataFrame:
+    """One row: how many terms a filter shows, of how many, the line that says so, and the letters that keep a term."""
+    q = query.strip().lower()
+    rows = terms.select("slug", "letter").join(filter_terms(terms, query).select("slug", F.lit(True).alias("hit")), "slug", "left")
+    found = rows.agg(F.count_if("hit").alias("shown"), F.count("*").alias("total"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("letter")))), ",").alias("letters"))
+    label = F.format_string("%d of %d", "shown", "total") if q else F.format_string("%d terms", "total")
+    return found.select("shown", "total", label.alias("label"), "letters")
+
+
+#: How many related terms and sources an entry shows.
+RELATED, DISCUSSED = 8, 6
+
+
+def dictionary_page(terms: DataFrame, sources: DataFrame) -> DataFrame:
+    """letter, slug, title, related, discussed of each term, titles joined by "; ".
+
+    Of related terms the first RELATED are taken and those without a row dropped; of sources those without a row are
+    dropped and the first DISCUSSED taken. The arrays are exploded without the terms' other columns.
+    """
+
+    def shown(column: str, rows: DataFrame, before: int | None, after: int | None) -> DataFrame:
+        names = rows.select(F.col("slug").alias("ref"), F.col("title").alias("name"))
+        refs = terms.select("slug", F.posexplode(column).alias("pos", "ref"))
+        found = (refs if before is None else refs.where(F.col("pos") < before)).join(names, "ref")
+        if after is not None:
+            w = Window.partitionBy("slug").orderBy("pos")
+            found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= after)
+        line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), "; ")
+        return found.groupBy("slug").agg(line.alias(column))
+
+    related, discussed = shown("related", terms, RELATED, None), shown("provenance", sources, None, DISCUSSED)
+    rows = terms.select("slug", "title", F.upper(F.coalesce(F.nullif("letter", F.lit("")), F.substring("title", 1, 1))).alias("letter"))
+    rows = rows.join(related, "slug", "left").join(discussed, "slug", "left")
+    return rows.select("letter", "slug", "title", F.coalesce("related", F.lit("")).alias("related"), F.coalesce("provenance", F.lit("")).alias("discussed"))
+
+
+def link_counts(terms: DataFrame) -> DataFrame:
+    """One row: links between terms and from terms to sources; null arrays have none."""
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).cast("bigint")
+    return terms.agg(size("related").alias("term_links"), size("provenance").alias("citations"))

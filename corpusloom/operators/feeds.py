@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {}
@@ -26,9 +26,9 @@ def first_wins(*feeds: DataFrame, key: str = "slug") -> DataFrame:
 
 
 def last_write(rows: DataFrame, key: str = "slug", order: str = "ord") -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key, combined before the shuffle."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("last"))
+    return last.select("last.*")
 
 
 def missing_only(wanted: DataFrame, done: DataFrame, key: str = "slug") -> DataFrame:

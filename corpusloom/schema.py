@@ -37,3 +37,9 @@ def enforce_schema(df: DataFrame, schema: T.StructType, **defaults: object) -> D
             c = F.coalesce(c, F.lit(given[field.name]).cast(field.dataType))
         out.append(c.alias(field.name))
     return df.select(*out)
+
+
+def rejected(df: DataFrame, required: tuple[str, ...] = ("slug", "title")) -> DataFrame:
+    """slug and missing: rows without a value in a required column, and which; a run that must not go on counts them."""
+    lacking = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in required)))
+    return df.select("slug", lacking.alias("missing")).where(F.size("missing") > 0)

@@ -22,11 +22,62 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POST).option("multiLine", True).json(path)
 
 
-def write_json_array(docs: DataFrame, path: str) -> None:
-    """Search documents as lines of JSON; a reader that needs one array wraps them."""
+def write_json_lines(docs: DataFrame, path: str) -> None:
+    """Search documents as lines of JSON, by all tasks."""
     docs.write.mode("overwrite").json(path)
 
 
+def write_json_array(docs: DataFrame, path: str) -> int:
+    """One file with one array, as a page loads it; the number of its elements. A single task streams the rows."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, target = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        n = 0
+        with system.open_output_stream(target) as f:
+            f.write(b"[")
+            for pdf in batches:
+                for line in pdf["line"]:
+                    f.write((b",\n" if n else b"") + line.encode())
+                    n += 1
+            f.write(b"]")
+        return n
+
+    def run(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"n": [write(batches)]})
+
+    lines = docs.select(F.to_json(F.struct(*docs.columns)).alias("line")).coalesce(1)
+    n = lines.mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0]
+    return write([]) if n is None else n  # a plan known to be empty has no task
+
+
+SEARCH_DOC = "id string, kind string, slug string, title string, subtitle string, collection string, url string, text string"
+ATLAS = "points array<struct<id string, slug string, type string, title string, subtitle string, url string>>, edges array<struct<source string, target string>>"
+
+
+def read_search_docs(spark: SparkSession, path: str) -> DataFrame:
+    """Search documents from one array or from lines."""
+    return spark.read.schema(SEARCH_DOC).option("multiLine", True).json(path) if path.endswith(".json") else spark.read.schema(SEARCH_DOC).json(path)
+
+
+def read_atlas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Points and edges of a map's JSON."""
+    whole = spark.read.schema(ATLAS).option("multiLine", True).json(path)
+    return whole.select(F.inline("points")), whole.select(F.inline("edges"))
+
+
+def saved_slugs(spark: SparkSession, path: str) -> set[str]:
+    """Slugs of posts fetched earlier: at most as many as one reader fetched one by one, with a pause."""
+    from corpusloom.sources.markdown import exists
+
+    if not exists(spark, path):
+        return set()
+    return {r["slug"] for r in spark.read.parquet(path).where("ok").select("slug").distinct().toLocalIterator()}
+
+
 def atlas_json(points: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: points, edges and their counts as compact JSON. For maps that a page can show."""
     p = points.agg(F.collect_list(F.struct(*points.columns)).alias("points"))
