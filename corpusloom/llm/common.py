@@ -6,7 +6,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +70,31 @@ def filesystem(uri: str):
 def make_folder(uri: str) -> None:
     filesystem_, path = filesystem(uri)
     filesystem_.create_dir(path, recursive=True)
+
+
+#: Rows of a part that ``numbered`` sorts, about.
+PART_ROWS = 4_000_000
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, few: bool = False) -> DataFrame:
+    """The rows with their place (from 0) among the rows of equal ``by``, in ``order``, nulls first; rows equal in all that in any order.
+
+    The rows are dealt by ranges of (by, order, row), so a group of any size is spread over as many parts as it
+    needs: a row's place is that in its part plus the rows of its group in earlier parts. ``few`` says that the
+    groups are few by construction; their (group, part) rows, at most groups + parts, are then broadcast.
+    """
+    row, at, part, first, n = (f"corpusloom_{x}" for x in ("row", "at", "part", "first", "n"))
+    spark, keys = df.sparkSession, [*by, *order, row]
+    given = materialise(df.withColumn(row, F.monotonically_increasing_id()), "given")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // PART_ROWS))
+    rows = materialise(given.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(row).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    discard(given)
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    heads = rows.groupBy(*by, part).agg(F.min(at).alias(first), F.count("*").alias(n))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*(F.col(c).alias(f"corpusloom_by{i}") for i, c in enumerate(by)), F.col(part).alias(f"{part}_"), first, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
+    same = F.col(part) == F.col(f"{part}_")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"corpusloom_by{i}"))
+    heads = F.broadcast(heads) if few else heads.hint("merge")
+    return rows.join(heads, same).select(*df.columns, (F.col(at) - F.col(first) + F.col(n)).alias(name))

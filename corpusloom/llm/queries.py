@@ -16,6 +16,9 @@ MODULES = {
     "op8_private_data": "pii",
     "op9_exact_top_k": "topk",
     "op10_best_fit_packing": "packing",
+    "op11_impact_search": "lexical",
+    "op12_rendezvous_shards": "shards",
+    "op13_prefix_trie": "trie",
 }
 
 _found = {name: import_module(f"corpusloom.llm.{module}") for name, module in MODULES.items()}
