@@ -97,14 +97,14 @@ def first_of(rows: DataFrame, by: list[str], order: list, most: int) -> DataFram
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def related_docs(docs: DataFrame, mentions: DataFrame, most: int = 5) -> DataFrame:
+def related_docs(docs: DataFrame, mentions: DataFrame, most: int = 5, only: DataFrame | None = None) -> DataFrame:
     """(src, dst, shared, same, rank): by the number of shared terms, then the same collection, then the order of the input.
 
     Documents of one set of terms share as many terms with any other document, so sets meet on their
     terms and not documents: a term that most documents hold gives pairs of distinct sets only. Of a
     set's documents in a collection only the first can be needed, as they come by the order of the
     input. Of documents without a shared term only the first of the collection can be: each document
-    takes as many of them as it may lack, never the whole.
+    takes as many of them as it may lack, never the whole. ``only`` (slug) restricts src, not dst.
     """
     d = docs.select("slug", "collection", "ord")
     sets = mentions.groupBy(F.col("doc").alias("slug")).agg(F.sort_array(F.collect_set("term")).alias("terms"))
@@ -112,17 +112,19 @@ def related_docs(docs: DataFrame, mentions: DataFrame, most: int = 5) -> DataFra
     sets = sets.select("slug", "terms", F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text))).alias("own"))
     own = d.join(sets.select("slug", "own"), "slug", "left")
     of_set = sets.groupBy("own").agg(F.first("terms").alias("terms")).select("own", F.explode("terms").alias("term"))
-    pairs = of_set.join(of_set.withColumnRenamed("own", "other"), "term").groupBy("own", "other").agg(F.count("*").alias("shared"))
+    wanted = own if only is None else own.join(only.select("slug"), "slug", "left_semi")
+    of_wanted = of_set if only is None else of_set.join(wanted.select("own").distinct(), "own", "left_semi")
+    pairs = of_wanted.join(of_set.withColumnRenamed("own", "other"), "term").groupBy("own", "other").agg(F.count("*").alias("shared"))
     # one more than asked for, as a document may stand in its own list
     heads = first_of(own.where("own is not null"), ["own", "collection"], ["ord"], most + 1)
     heads = heads.select(F.col("own").alias("other"), F.col("slug").alias("dst"), F.col("collection").alias("c_dst"), F.col("ord").alias("o_dst"))
     found = first_of(pairs.join(heads, "other"), ["own", "shared", "c_dst"], ["o_dst"], most + 1).drop("other", "place")
-    asked = own.where("own is not null").select("own", F.col("collection").alias("c_src")).distinct()
+    asked = wanted.where("own is not null").select("own", F.col("collection").alias("c_src")).distinct()
     same = (F.col("c_src") == F.col("c_dst")).cast("int")
     order = [F.desc("shared"), F.desc("same"), "o_dst"]
     lists = first_of(asked.join(found, "own").withColumn("same", same), ["own", "c_src"], order, most + 1).drop("place")
     lists = lists.withColumnRenamed("own", "of")
-    src = own.select(F.col("slug").alias("src"), "own", "collection")
+    src = wanted.select(F.col("slug").alias("src"), "own", "collection")
     shared = src.join(lists, (F.col("own") == F.col("of")) & F.col("collection").eqNullSafe(F.col("c_src"))).where("src <> dst").select("src", "dst", "shared", "same", "o_dst")
     # how far a document looks: what it lacks, itself, and those partners of its own that may stand in the way
     n_shared = shared.groupBy("src").agg(F.count("*").alias("n"))
