@@ -39,11 +39,19 @@ def search_docs(terms: DataFrame, sources: DataFrame) -> DataFrame:
     return one(terms, "term", sub, F.lit("dictionary"), 1200).unionByName(one(sources, "source", own, F.col("collection"), 4000))
 
 
+def counted(tokens: Column) -> Column:
+    """(token, tf) of each distinct token, within the row: the tokens are sorted and cut where they change."""
+    ends = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda x: F.transform(F.slice(x["e"], F.lit(2), F.size(x["e"]) - 1), lambda e, i: F.struct(F.get(x["s"], e - 1).alias("token"), (e - F.get(x["e"], i)).cast("bigint").alias("tf")))
+    one = T.once(F.array_sort(tokens), lambda s: F.struct(s.alias("s"), ends(s).alias("e")))
+    return F.when(F.size(tokens) > 0, T.once(one, runs)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>"))
+
+
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(field, token, doc, tf)."""
-    each = [F.struct(F.lit(f).alias("field"), tokenize(F.coalesce(F.col(f), F.lit(""))).alias("tokens")) for f in fields or FIELDS]
-    rows = docs.select(F.col("id").alias("doc"), F.explode(F.array(*each)).alias("x")).select("doc", "x.field", F.explode("x.tokens").alias("token"))
-    return rows.groupBy("field", "token", "doc").agg(F.count("*").alias("tf"))
+    """(field, token, doc, tf, length, head): counted within the row, nothing is shuffled. A document has an id of its own; head marks one posting of each field of it."""
+    each = [F.struct(F.lit(f).alias("field"), counted(tokenize(F.coalesce(F.col(f), F.lit("")))).alias("tokens")) for f in fields or FIELDS]
+    rows = docs.select(F.col("id").alias("doc"), F.explode(F.array(*each)).alias("x")).select("doc", "x.field", F.size("x.tokens").alias("length"), F.posexplode("x.tokens").alias("at", "t"))
+    return rows.select("field", "t.token", "doc", "t.tf", "length", (F.col("at") == 0).alias("head"))
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -53,7 +61,7 @@ def index(docs: DataFrame) -> DataFrame:
 
 def field_lengths(posts: DataFrame) -> DataFrame:
     """(field, doc, length)."""
-    return posts.groupBy("field", "doc").agg(F.count("*").alias("length"))
+    return posts.where("head").select("field", "doc", "length")
 
 
 def expand(posts: DataFrame, query: str, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
@@ -77,10 +85,10 @@ def expand(posts: DataFrame, query: str, prefix: bool = True, fuzzy: bool = True
 def scores(posts: DataFrame, n_docs: int | Column, expanded: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """(doc, score, matched): unsorted, of documents that match every token of the query."""
     boosts = boosts or FIELDS
-    lengths = field_lengths(posts)
-    mean = lengths.groupBy("field").agg(F.avg("length").alias("mean"))
-    df = posts.join(expanded.select("token").distinct(), "token", "left_semi").groupBy("field", "token").agg(F.count("*").alias("n"))
-    hits = posts.join(expanded, "token").join(df, ["field", "token"]).join(lengths, ["field", "doc"]).join(mean, "field")
+    mean = posts.groupBy("field").agg((F.count("*") / F.count_if("head")).alias("mean"))
+    met = posts.join(expanded, "token")
+    df = met.groupBy("q", "field", "token").agg(F.count("*").alias("n"))
+    hits = met.join(df, ["q", "field", "token"]).join(mean, "field")
     boost = F.lit(1.0)
     for field, value in boosts.items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)

@@ -1,4 +1,4 @@
-"""Registered queries of the corpus build: an earlier state of the tables is published, then brought up to date."""
+"""Registered queries of the corpus build, of an earlier state of the tables that is brought up to date, and of the stored index."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus
-from corpusloom.plans.catalogue import MENTIONS, TERM_MENTIONS, TERMS, query, sources, table, terms
+from corpusloom.operators import corpus, search
+from corpusloom.operators.textindex import TextIndex
+from corpusloom.plans.catalogue import DOCS, MENTIONS, TERM_MENTIONS, TERMS, _ranked, q_trim, query, sources, table, terms
 from corpusloom.sources.generations import Generation, Generations, scratch
 
 #: Later terms that each term names as see-also: more than the cap of links.
@@ -68,3 +69,34 @@ def corpus_terms_built(spark, sf):
     built, _ = corpus.records(corpus.build(store, named_terms(spark, sf), placed_sources(spark, sf)))
     joined = lambda c: F.nullif(F.array_join(c, ","), F.lit("")).alias(c)
     return built.select("slug", "title", joined("related"), joined("provenance"))
+
+
+# -- the stored index
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    return TextIndex.build(search.search_docs(terms(spark, sf_dir), sources(spark, sf_dir)), scratch(spark, "index"))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(_ranked("the tion", False, False))
+def index_search_exact(spark, sf):
+    return _rounded(stored_index(spark, sf).search("the tion", 40, False, False).rows).select("id", "score")
+
+
+@query(_ranked("theter reing", True, True))
+def index_search_fuzzy(spark, sf):
+    return _rounded(stored_index(spark, sf).search("theter reing").rows).select("id", "score")
+
+
+SNIPPET = q_trim("substr(text, greatest(strpos(lower(text), 'the') - 61, 0) + 1, 220)")
+
+
+@query(f"""WITH {DOCS}, w AS ({_ranked("the onth", True, True)})
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, title, CASE WHEN kind = 'term' THEN 'Dictionary' ELSE collection END AS badge, url, score,
+replace(replace(replace(CASE WHEN strpos(lower(text), 'the') > 61 THEN '…' ELSE '' END || {SNIPPET}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '…' AS snippet FROM w JOIN d USING (id)""")
+def index_hits(spark, sf):
+    return _rounded(stored_index(spark, sf).hits("the onth"))
