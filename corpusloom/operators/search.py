@@ -43,8 +43,8 @@ def counted(tokens: Column) -> Column:
     """(token, tf) of each distinct token, within the row: the tokens are sorted and cut where they change."""
     ends = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda x: F.transform(F.slice(x["e"], F.lit(2), F.size(x["e"]) - 1), lambda e, i: F.struct(F.get(x["s"], e - 1).alias("token"), (e - F.get(x["e"], i)).cast("bigint").alias("tf")))
-    one = T.once(F.array_sort(tokens), lambda s: F.struct(s.alias("s"), ends(s).alias("e")))
-    return F.when(F.size(tokens) > 0, T.once(one, runs)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>"))
+    one = T.once(F.sort_array(tokens), lambda s: F.struct(s.alias("s"), ends(s).alias("e")))
+    return T.once(one, runs)
 
 
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
