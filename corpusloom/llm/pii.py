@@ -15,18 +15,22 @@ of at least REMOVE is removed. Equal texts with personal data count as one docum
 word that stands beside an address only because a document was copied reveals no more than in one copy.
 
 At scale: only texts with personal data are shuffled. Document frequencies of all words are aggregated
-within tasks first. Of a document's entities and words, only those pairs become rows that would exceed
-GENERALISE if every document of the rarer of the two held both; no other pair can, so none is missed.
+within tasks first. Entities that stand in the same documents disclose alike, and so do terms of equal frequency that
+stand in the same documents with personal data: sets of either kind (by 128 bits over their documents) stand for
+their members, so all the addresses and words of a document that occur nowhere else are one pair. Of a document's
+sets only those pairs become rows that would exceed GENERALISE if every document of the rarer of the two held both;
+no other pair can, so none is missed. What is left are sets that differ: a document that shares each of its
+entities and each of its words with another document has as many pairs as these multiply to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import discard, materialise, table
 
 #: Fixed patterns of the base kinds, in order; look-behinds and possessive quantifiers keep them linear.
 PATTERNS = {
@@ -153,13 +157,6 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), NOT_WORD))
 
 
-def places(text: Column, terms: Column) -> Column:
-    """(start, end, disclosed) of the words that are a key of the map, in order."""
-    share = lambda word: F.element_at(terms, F.lower(word))
-    words = F.transform(located(text, WORD), lambda w: F.struct(w["start"].alias("start"), (w["start"] + F.length(w["value"])).alias("end"), share(w["value"]).alias("disclosed")))
-    return F.filter(words, lambda w: w["disclosed"].isNotNull())
-
-
 def share_of(n_et: Column, n_e: Column, df: Column, n: float) -> Column:
     """d(e, t) by numbers of documents."""
     info = -F.log2(n_e / F.lit(n))
@@ -167,37 +164,57 @@ def share_of(n_et: Column, n_e: Column, df: Column, n: float) -> Column:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """copy, places (start, end, disclosed) of the terms that exceed GENERALISE, of the texts that hold any."""
+    """copy, terms (start, end, disclosed) that exceed GENERALISE and touch no base span, in order, of the texts that hold any."""
     held = found.where(F.size("base") > 0)
     held = materialise(held.groupBy("copy").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("base").alias("base")), "held")
     entities = held.select("copy", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["ord"], F.lower(s["value"]))))).alias("entity"))
     words = held.select("copy", "copies", F.explode(words_of(F.col("text"))).alias("term")).where(F.length("term").between(2, LONGEST) & ~F.col("term").rlike("^[0-9]+$"))
+    in_set = [F.bit_xor(F.xxhash64(F.lit(i), F.col("copy"))) for i in range(2)]
 
     with_text = docs.select(F.col(text_col).cast("string").alias("text"))
     # all documents less the further copies of those with personal data
     n = float(max(1, with_text.count() - (held.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)))
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    further = words.groupBy("term").agg(F.sum(F.col("copies") - 1).alias("further"))
+    # entities of one set of documents disclose alike, and so do terms: pairs are of sets
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e"), in_set[0].alias("e0"), in_set[1].alias("e1"))
+    e_set, t_set = ["n_e", "e0", "e1"], ["df", "t0", "t1"]
+    further = words.groupBy("term").agg(F.sum(F.col("copies") - 1).alias("further"), in_set[0].alias("t0"), in_set[1].alias("t1"))
     frequency = with_text.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # an inner join stays above the aggregation: a semi-join would go below it and give a row per occurrence
-    frequency = materialise(frequency.join(further, "term").select("term", (F.col("df") - F.col("further")).alias("df")), "terms")
-    left, right = words.join(frequency, "term").select("copy", "term", "df"), entities.join(of_entity, "entity").withColumnRenamed("copy", "in_copy")
+    frequency = materialise(frequency.join(further.hint("merge"), "term").select("term", (F.col("df") - F.col("further")).alias("df"), "t0", "t1"), "terms")
+    held_words = materialise(words.join(frequency.hint("merge"), "term").select("copy", "term", *t_set), "words")
+    right = entities.join(of_entity.hint("merge"), "entity").select(F.col("copy").alias("in_copy"), *e_set).distinct()
     possible = share_of(F.least("n_e", "df"), F.col("n_e"), F.col("df"), n) >= GENERALISE
-    pairs = left.join(right, (F.col("copy") == F.col("in_copy")) & possible).select("copy", "entity", "term", "n_e", "df")
+    pairs = held_words.select("copy", *t_set).distinct().join(right.hint("merge"), (F.col("copy") == F.col("in_copy")) & possible).drop("in_copy")
     pairs = materialise(pairs, "pairs")
-    verdicts = pairs.groupBy("entity", "term", "n_e", "df").agg(F.count("*").alias("n_et")).withColumn("disclosed", share_of(F.col("n_et"), F.col("n_e"), F.col("df"), n))
-    verdicts = verdicts.where(F.col("disclosed") >= GENERALISE).select("entity", "term", "disclosed")
-    of_copy = pairs.select("copy", "entity", "term").join(verdicts, ["entity", "term"]).groupBy("copy", "term").agg(F.max("disclosed").alias("disclosed"))
-    of_copy = of_copy.groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("terms"))
-    return held.select("copy", "text").join(of_copy, "copy").select("copy", places(F.col("text"), F.col("terms")).alias("places"))
+    verdicts = pairs.groupBy(*e_set, *t_set).agg(F.count("*").alias("n_et")).withColumn("disclosed", share_of(F.col("n_et"), F.col("n_e"), F.col("df"), n))
+    verdicts = verdicts.where(F.col("disclosed") >= GENERALISE).drop("n_et")
+    of_copy = pairs.join(verdicts.hint("merge"), [*e_set, *t_set]).groupBy("copy", *t_set).agg(F.max("disclosed").alias("disclosed"))
+    terms = materialise(held_words.join(of_copy.hint("merge"), ["copy", *t_set]).select("copy", "term", "disclosed"), "disclosed")
+    discard(pairs, held_words, frequency)
+    texts = held.join(terms.select("copy").distinct().hint("merge"), "copy")
+    at = texts.select("copy", F.explode(located(F.col("text"), WORD)).alias("w"))
+    at = at.select("copy", F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.value")).alias("end"), F.lower("w.value").alias("term")).join(terms.hint("merge"), ["copy", "term"])
+    return untouched(at.select("copy", "start", "end", "disclosed"), texts.select("copy", F.explode("base").alias("b")).select("copy", "b.start", "b.end"))
+
+
+def untouched(terms: DataFrame, base: DataFrame) -> DataFrame:
+    """copy, terms: those (start, end, disclosed) that overlap no base span (start, end) of the copy, in order.
+
+    In the order of the terms' ends and the spans' starts a term overlaps if a span before it ends behind its start.
+    """
+    none = F.lit(None)
+    events = terms.select("copy", F.col("end").alias("at"), F.lit(0).alias("kind"), none.cast("int").alias("reach"), F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", "disclosed").alias("term"))
+    spans = base.select("copy", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("end").alias("reach"), none.cast(events.schema["term"].dataType).alias("term"))
+    before = Window.partitionBy("copy").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.unionByName(spans).withColumn("reached", F.coalesce(F.max("reach").over(before), F.lit(0))).where("term is not null and reached <= term.start")
+    return rows.groupBy("copy").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def all_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, doc_id, base and terms, the latter with their disclosed share; a term that touches a base span is no span of its own."""
     found = found_in(docs, id_col, text_col)
-    extra = disclosing(found, docs, text_col).select("copy", F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), p["end"].alias("end"), p["disclosed"].alias("disclosed"))).alias("terms"))
-    rows = found.drop("text").join(extra, "copy", "left").select("key", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,ord:int,end:int,disclosed:double>>")).alias("terms"))
-    return rows.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    extra = disclosing(found, docs, text_col)
+    return found.drop("text").join(extra.hint("merge"), "copy", "left").select("key", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,ord:int,end:int,disclosed:double>>")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -263,6 +263,28 @@ def test_many_addresses_in_one_text(spark):
     assert r.n_email == 6000 and r.base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
 
 
+def test_addresses_and_words_of_one_text_are_one_pair(spark, monkeypatch):
+    """Twice as many addresses and words of a text give the same few pairs of sets."""
+    written, rows = pii.materialise, {}
+
+    def counted(df, what):
+        out = written(df, what)
+        rows[what] = rows.get(what, 0) + (out.count() if what == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(pii, "materialise", counted)
+    plain, found = [f"plain text {i} of common words" for i in range(200)], []
+    for n in (100, 5000):
+        rows.clear()
+        text = " ".join(f"user{i}@host{i}.org word{i}" for i in range(n))
+        r = pii.find_personal_data(spark.createDataFrame(list(enumerate([*plain, text])), "doc_id bigint, text string")).where("doc_id = 200").first()
+        spans = r.spans.split(",")
+        # the words beside the addresses are disclosed, those within them are no spans of their own
+        assert r.n_email == n and sum(s.startswith("term:") for s in spans) == n and len(spans) == 2 * n
+        found.append(rows["pairs"])
+    assert found[0] == found[1] <= 4
+
+
 def brute_terms(texts):
     """Terms of each text by d(e, t), counted over distinct texts, as the docstring of pii says."""
     entities = {t: {(k, v.lower()) for k, v in re.findall(r"()(\w+@\w+\.org)", t)} for t in set(texts)}
