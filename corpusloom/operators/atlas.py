@@ -112,6 +112,21 @@ def layout(vectors: DataFrame, dims: int) -> DataFrame:
     return v.select("vec_id", F.array(*(F.round(dot(axes[:, j]), 4) for j in range(axes.shape[1]))).alias("p"))
 
 
+def map_tables(terms: DataFrame, sources: DataFrame, provenance: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with coordinates and edges with their kind, as ``sources.tables.write_atlas`` takes them.
+
+    terms, sources: slug, title, subtitle, url. provenance: term, doc. vectors: id, embedding; a point without a
+    vector is left out, and so is an edge without both its points.
+    """
+    rows = point_rows(terms, "term", F.col("url")).unionByName(point_rows(sources, "source", F.col("url")))
+    given = vectors.select(F.col("id").alias("vec_id"), "embedding")
+    for dims, names in ((3, ("x3", "y3", "z3")), (2, ("x2", "y2"))):
+        places = layout(given, dims).select(F.col("vec_id").alias("id"), *(F.get("p", i).alias(n) for i, n in enumerate(names)))
+        rows = rows.join(places, "id")
+    edges = provenance.select(F.concat(F.lit("term:"), "term").alias("source"), F.concat(F.lit("source:"), "doc").alias("target"), F.lit("discussed-in").alias("kind"))
+    return rows, edges_between(edges, rows)
+
+
 def edges_between(edges: DataFrame, points: DataFrame, key: str = "id") -> DataFrame:
     """Edges (source, target) both of whose ends are points."""
     ends = points.select(key)

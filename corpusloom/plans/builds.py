@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus, search
+from corpusloom.operators import atlas, corpus, search
 from corpusloom.operators.textindex import TextIndex
-from corpusloom.plans.catalogue import DOCS, MENTIONS, TERM_MENTIONS, TERMS, _ranked, q_trim, query, sources, table, terms
+from corpusloom.plans.catalogue import DOCS, MENTIONS, POINTS, TERM_MENTIONS, TERMS, _ranked, points, q_trim, query, sources, table, terms
+from corpusloom.sources import tables
 from corpusloom.sources.generations import Generation, Generations, scratch
 
 #: Later terms that each term names as see-also: more than the cap of links.
@@ -100,3 +101,27 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id,
 replace(replace(replace(CASE WHEN strpos(lower(text), 'the') > 61 THEN '…' ELSE '' END || {SNIPPET}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '…' AS snippet FROM w JOIN d USING (id)""")
 def index_hits(spark, sf):
     return _rounded(stored_index(spark, sf).hits("the onth"))
+
+
+# -- the map's file
+
+
+def map_file(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points and edges written as the page's file and read back; further coordinates are further components."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v:"), F.col("vec_id")).alias("id"), *(F.round(F.col("embedding")[i].cast("double"), 4).alias(n) for i, n in ((2, "x3"), (3, "y3"), (4, "z3"))))
+    p = points(spark, sf_dir).join(e, "id").withColumn("url", F.concat(F.lit("/p/"), "id"))
+    links = p.select(F.col("id").alias("source"), F.concat(F.lit("v:"), F.col("ord") + 1).alias("target"), F.lit("discussed-in").alias("kind"))
+    path = f"{scratch(spark, 'map')}/atlas.json"
+    tables.write_atlas(p, atlas.edges_between(links, p), path)
+    return tables.read_atlas(spark, path)
+
+
+@query(f"""WITH {POINTS} SELECT pt.id, type, title, CAST(NULL AS VARCHAR) AS subtitle, x2, y2, round(CAST(embedding[3] AS DOUBLE), 4) AS x3, round(CAST(embedding[4] AS DOUBLE), 4) AS y3, round(CAST(embedding[5] AS DOUBLE), 4) AS z3, '/p/' || pt.id AS url
+FROM pt JOIN embeddings e ON e.vec_id = pt.ord""")
+def map_file_points(spark, sf):
+    return map_file(spark, sf)[0]
+
+
+@query(f"WITH {POINTS} SELECT a.id AS source, b.id AS target, 'discussed-in' AS kind FROM pt a JOIN pt b ON b.ord = a.ord + 1")
+def map_file_edges(spark, sf):
+    return map_file(spark, sf)[1]

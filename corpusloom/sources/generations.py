@@ -29,6 +29,8 @@ def scratch(spark: SparkSession, what: str) -> str:
         if not conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -55,7 +55,9 @@ def write_json_array(docs: DataFrame, path: str) -> int:
 
 
 SEARCH_DOC = "id string, kind string, slug string, title string, subtitle string, collection string, url string, text string"
-ATLAS = "points array<struct<id string, slug string, type string, title string, subtitle string, url string>>, edges array<struct<source string, target string>>"
+POINT = "id string, type string, title string, subtitle string, x3 double, y3 double, z3 double, x2 double, y2 double, url string"
+EDGE = "source string, target string, kind string"
+ATLAS = f"points array<struct<{POINT}>>, edges array<struct<{EDGE}>>, stats struct<terms bigint, sources bigint, edges bigint>"
 
 
 def read_search_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +66,16 @@ def read_search_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atlas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Points and edges of a map's JSON."""
+    """Points and edges of a map's JSON, with coordinates and kinds."""
     whole = spark.read.schema(ATLAS).option("multiLine", True).json(path)
     return whole.select(F.inline("points")), whole.select(F.inline("edges"))
 
 
+def read_atlas_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: terms, sources, edges."""
+    return spark.read.schema(ATLAS).option("multiLine", True).json(path).select("stats.*")
+
+
 def saved_slugs(spark: SparkSession, path: str) -> set[str]:
     """Slugs of posts fetched earlier: at most as many as one reader fetched one by one, with a pause."""
     from corpusloom.sources.markdown import exists
@@ -78,12 +85,44 @@ def saved_slugs(spark: SparkSession, path: str) -> set[str]:
     return {r["slug"] for r in spark.read.parquet(path).where("ok").select("slug").distinct().toLocalIterator()}
 
 
-def atlas_json(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: points, edges and their counts as compact JSON. For maps that a page can show."""
-    p = points.agg(F.collect_list(F.struct(*points.columns)).alias("points"))
-    e = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
-    stats = F.struct(F.size("points").alias("points"), F.size("edges").alias("edges"))
-    return p.join(e).select(F.to_json(F.struct("points", "edges", stats.alias("stats"))).alias("json"))
+def write_atlas(points: DataFrame, edges: DataFrame, path: str) -> None:
+    """One file as the map's page loads it: points, edges and the counts of terms, sources and edges, as compact JSON.
+
+    points and edges have the columns of POINT and EDGE and perhaps others, which are left out; nulls are written. A
+    single task streams the rows into the file, none is held.
+    """
+    kinds = points.agg(F.count_if(F.col("type") == "term").alias("terms"), F.count_if(F.col("type") == "source").alias("sources")).first()
+    stats = {"terms": kinds["terms"], "sources": kinds["sources"], "edges": edges.agg(F.count("*")).first()[0]}
+    line = lambda df, kind, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*(f.split()[0] for f in kind.split(", "))), {"ignoreNullFields": "false"}).alias("line"))
+    lines = line(points, POINT, 0).union(line(edges, EDGE, 1)).coalesce(1)
+
+    def write(batches):
+        import json
+
+        from pyarrow import fs
+
+        system, target = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(target.rpartition("/")[0], recursive=True)
+        part, n = 0, 0
+        with system.open_output_stream(target) as f:
+            f.write(b'{"points":[')
+            for pdf in batches:
+                for which, text in zip(pdf["part"], pdf["line"], strict=True):
+                    if which != part:
+                        f.write(b'],"edges":[')
+                        part, n = which, 0
+                    f.write((b"," if n else b"") + text.encode())
+                    n += 1
+            f.write((b'],"edges":[' if part == 0 else b"") + b'],"stats":' + json.dumps(stats, separators=(",", ":")).encode() + b"}")
+
+    def run(batches):
+        import pandas as pd
+
+        write(batches)
+        yield pd.DataFrame({"done": [True]})
+
+    if lines.mapInPandas(run, "done boolean").first() is None:
+        write([])  # a plan known to be empty has no task
 
 
 def ledger_rows(failures: DataFrame, at: Column, most: int = 300) -> DataFrame:

@@ -72,3 +72,29 @@ def test_near_spellings_miss_none_and_compare_few(spark, tmp_path):
         assert {v for v in words if abs(len(v) - len(w)) <= 6 and distance(v, w) <= textindex.edits_for(len(w))} <= near
     assert index.near("ab").count() == 0
     assert compared < len(asked) * len(words) / 3
+
+
+def test_map_file_round_trip(spark, tmp_path):
+    import json
+
+    from corpusloom.operators import atlas
+    from corpusloom.sources import tables
+
+    def rows(*v):
+        return spark.createDataFrame(list(v), "slug string, title string, subtitle string, url string")
+
+    terms, docs = rows(("t", 'A "term"', "", "/t"), ("u", "Other", "sub", "/u")), rows(("d", "Doc", None, "/d"), ("e", "É\n", "x", "/e"), ("f", "no vector", "", "/f"))
+    links = spark.createDataFrame([("t", "d"), ("u", "e"), ("u", "f"), ("gone", "d")], "term string, doc string")
+    vectors = spark.createDataFrame([("term:t", [1.0, 0.0, 0.0, 2.0]), ("term:u", [0.0, 1.0, 0.5, 0.0]), ("source:d", [0.5, 0.5, 0.0, 1.0]), ("source:e", [0.0, 0.0, 3.0, 1.0])], "id string, embedding array<double>")
+    points, edges = atlas.map_tables(terms, docs, links, vectors)
+    path = f"{tmp_path}/atlas.json"
+    tables.write_atlas(points, edges, path)
+    got_points, got_edges = tables.read_atlas(spark, path)
+    assert sorted(map(str, got_points.collect())) == sorted(map(str, points.select(got_points.columns).collect())) and got_points.count() == 4
+    assert all(None not in (r.x2, r.y2, r.x3, r.y3, r.z3) for r in got_points.collect())
+    assert sorted(map(tuple, got_edges.collect())) == [("term:t", "source:d", "discussed-in"), ("term:u", "source:e", "discussed-in")]
+    assert tuple(tables.read_atlas_stats(spark, path).first()) == (2, 2, 2)
+    text = open(path, encoding="utf-8").read()
+    assert set(json.loads(text)["points"][0]) == {"id", "type", "title", "subtitle", "x3", "y3", "z3", "x2", "y2", "url"} and ": " not in text.replace('": ', "")
+    tables.write_atlas(points.where("false"), edges.where("false"), path)
+    assert json.loads(open(path).read()) == {"points": [], "edges": [], "stats": {"terms": 0, "sources": 0, "edges": 0}}
