@@ -88,13 +88,15 @@ def saved_slugs(spark: SparkSession, path: str) -> set[str]:
 def write_atlas(points: DataFrame, edges: DataFrame, path: str) -> None:
     """One file as the map's page loads it: points, edges and the counts of terms, sources and edges, as compact JSON.
 
-    points and edges have the columns of POINT and EDGE and perhaps others, which are left out; nulls are written. A
-    single task streams the rows into the file, none is held.
+    points and edges have the columns of POINT and EDGE and perhaps others, which are left out; nulls are written. They
+    are in the order of a column ord, where they have one, then of their text. A single task sorts them and streams them
+    into the file.
     """
     kinds = points.agg(F.count_if(F.col("type") == "term").alias("terms"), F.count_if(F.col("type") == "source").alias("sources")).first()
     stats = {"terms": kinds["terms"], "sources": kinds["sources"], "edges": edges.agg(F.count("*")).first()[0]}
-    line = lambda df, kind, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*(f.split()[0] for f in kind.split(", "))), {"ignoreNullFields": "false"}).alias("line"))
-    lines = line(points, POINT, 0).union(line(edges, EDGE, 1)).coalesce(1)
+    order = lambda df: F.lit("") if "ord" not in df.columns else F.col("ord") if dict(df.dtypes)["ord"] == "string" else F.lpad(F.col("ord").cast("string"), 20, "0")
+    line = lambda df, kind, part: df.select(F.lit(part).alias("part"), order(df).alias("ord"), F.to_json(F.struct(*(f.split()[0] for f in kind.split(", "))), {"ignoreNullFields": "false"}).alias("line"))
+    lines = line(points, POINT, 0).union(line(edges, EDGE, 1)).coalesce(1).sortWithinPartitions("part", "ord", "line").select("part", "line")
 
     def write(batches):
         import json
