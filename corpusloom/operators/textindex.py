@@ -2,7 +2,7 @@
 
 A folder holds, as Parquet:
 
-    docs        the search documents with their range: documents of a task that follow each other, at most RANGE
+    docs        the search documents with their number; a range is RANGE numbers, documents of a task that follow each other
     blocks      token, range, n, most, entries (doc, part): the postings of a token in a range; part is a field's whole
                 score for the token in the document, so a query only weighs and adds; most is what a document of
                 the range can get at most. Sorted by token and range, so files and row groups are skipped by token.
@@ -107,16 +107,19 @@ class TextIndex:
         """Of search documents (see ``search.search_docs``), each row a document with an id of its own."""
         own = cls(docs.sparkSession, path)
         put = lambda rows, name: rows.write.option("compression", "zstd").parquet(f"{own.path}/{name}")
-        put(docs.withColumn("range", F.floor(F.monotonically_increasing_id() / size).cast("bigint")), "docs")
-        docs = own.table("docs")
-        fields = [F.struct(F.lit(i).alias("field"), S.counted(S.tokenize(F.coalesce(F.col(f), F.lit("")))).alias("tokens")) for i, f in enumerate(S.FIELDS)]
-        rows = docs.select("range", F.col("id").alias("doc"), F.explode(F.array(*fields)).alias("x")).select("range", "doc", "x.field", F.size("x.tokens").alias("length"), F.explode("x.tokens").alias("t"))
+        put(docs.withColumn("doc", F.monotonically_increasing_id()), "docs")
+        docs, names = own.table("docs"), list(S.FIELDS)
+        fields = [F.struct(F.lit(i).alias("field"), S.counted(S.tokenize(F.coalesce(F.col(f), F.lit("")))).alias("tokens")) for i, f in enumerate(names)]
+        rows = docs.select("doc", F.explode(F.array(*fields)).alias("x")).select("doc", "x.field", F.size("x.tokens").alias("length"), F.posexplode("x.tokens").alias("at", "t"))
         # a range lies in one task, so its blocks are whole before they are shuffled
-        raw = rows.groupBy("t.token", "range").agg(F.collect_list(F.struct("doc", "field", "t.tf", "length")).alias("entries"))
-        put(raw.repartitionByRange("token", "range").sortWithinPartitions("token", "range"), "raw")
-        raw, names = own.table("raw"), list(S.FIELDS)
-        lengths = [F.size(F.array_distinct(S.tokenize(F.coalesce(F.col(f), F.lit(""))))) for f in names]
-        of = docs.agg(F.count("*").alias("n"), *(F.avg(F.when(n > 0, n)).alias(f) for n, f in zip(lengths, names, strict=True))).first()
+        entry = F.struct("doc", "field", F.col("t.tf").cast("int").alias("tf"), "length", (F.col("at") == 0).alias("head"))
+        raw = rows.groupBy("t.token", F.floor(F.col("doc") / size).cast("bigint").alias("range")).agg(F.collect_list(entry).alias("entries"))
+        put(raw, "raw")
+        raw = own.table("raw")
+        heads = [F.filter(of_field(i), lambda e: e["head"]) for i in range(len(names))]
+        sums = [F.try_divide(F.sum(F.aggregate(h, F.lit(0).cast("bigint"), lambda s, e: s + e["length"])), F.sum(F.size(h))) for h in heads]
+        means = raw.agg(*(m.alias(f) for m, f in zip(sums, names, strict=True))).first()
+        of = {f: means[f] for f in names} | {"n": docs.agg(F.count("*")).first()[0]}
         n_of = [F.sum(F.size(of_field(i))).alias(f"n{i}") for i in range(len(names))]
         put(raw.groupBy("token").agg(*n_of).repartitionByRange("token").sortWithinPartitions("token"), "vocabulary")
         words = own.table("vocabulary")
@@ -126,8 +129,14 @@ class TextIndex:
         blocks = parts.select("token", "range", F.size("entries").alias("n"), sum(most[1:], most[0]).alias("most"), F.transform("entries", lambda e: F.struct(e["doc"].alias("doc"), e["part"].alias("part"))).alias("entries"))
         put(blocks.repartitionByRange("token", "range").sortWithinPartitions("token", "range"), "blocks")
         put(own.table("blocks").drop("entries"), "heads")
+        own.drop("raw")
         return own
 
+    def drop(self, name: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     def near(self, token: str) -> DataFrame:
         """token of the vocabulary that shares a key with the query token; its distance isn't known yet."""
         asked = query_keys(token)
@@ -189,17 +198,19 @@ class TextIndex:
         wanted = bounds.where("all").where(F.col("bound") >= floor)
         scored = self.scores(blocks, expanded, wanted, n)
         read = wanted.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        best = scored.orderBy(F.desc("score"), "id").limit(k)
+        # of the documents that reach the k-th score, ties included, the names decide
+        least = scored.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
+        best = scored.where(F.col("score") >= F.lit(least)).join(self.table("docs").select("doc", "id").hint("merge"), "doc").orderBy(F.desc("score"), "id").limit(k)
         best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "score")
         bounds.unpersist()
         return Found(best, {"blocks": read[0], "of_blocks": total[0] or 0, "entries": read[1], "of_entries": total[1] or 0})
 
     @staticmethod
     def scores(blocks: DataFrame, expanded: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
-        """id, score of the documents of the ranges that match all n tokens."""
+        """doc, score of the documents of the ranges that match all n tokens."""
         rows = blocks.join(ranges.select("range"), "range", "left_semi").join(expanded, "token").select("q", "weight", F.explode("entries").alias("e"))
-        each = rows.groupBy(F.col("e.doc").alias("id")).agg(F.sum(F.col("weight") * F.col("e.part")).alias("total"), F.count_distinct("q").alias("matched"))
-        return each.where(F.col("matched") == n).select("id", (F.col("total") * n).alias("score"))
+        each = rows.groupBy(F.col("e.doc").alias("doc")).agg(F.sum(F.col("weight") * F.col("e.part")).alias("total"), F.count_distinct("q").alias("matched"))
+        return each.where(F.col("matched") == n).select("doc", (F.col("total") * n).alias("score"))
 
     def hits(self, query: str, k: int = 40, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
         """rank, id, title, badge, url, score, snippet: what a page shows; the k rows meet the documents."""
