@@ -144,7 +144,10 @@ def build(store: Generations, terms: DataFrame, sources: DataFrame) -> Generatio
     served = all_of(old, "related_docs", empty).where("shared > 0").groupBy(F.col("src").alias("slug")).agg(F.count("*").alias("n"))
     # a collection without a name has no company by collection
     alone = sources.join(other, "collection", "left_semi").join(served, "slug", "left").where(F.coalesce("n", F.lit(0)) < MOST_DOCS).select("slug")
-    again = store.write(draft, "touched_sources", own.union(company).union(alone).distinct())
+    # each is written by itself: a union of joins whose skewed parts are split at run time may not be planned
+    store.write(draft, "touching", own)
+    store.write(draft, "touching", company, {})
+    again = store.write(draft, "touched_sources", store.write(draft, "touching", alone, {}).distinct())
     found = xref.related_docs(sources, provenance, MOST_DOCS, only=again)
     write("related_docs", found.select("src", "dst", "shared", "same", "rank"), {"src": again})
     names = ("terms", "sources", "provenance", "changed_terms", "changed_sources", "touched_terms", "touched_sources")

@@ -55,7 +55,7 @@ def posts(spark: SparkSession, path: str, collection: str, kind: str = "post", d
         files = markdown.read_folder(spark, path, skip_underscore=skip_underscore, optional=True).select("slug", "text")
     files = files.withColumn("ord", F.concat("slug", F.lit(".md")))
     rows = markdown.parse_posts(files, collection, kind, date, author, compat, own_slug)
-    return enforce_schema(rows.drop("ord"), SOURCES).drop("ord").join(rows.select("slug", F.col("ord").alias("file")), "slug")
+    return rows.withColumn("related", F.array().cast("array<string>")).withColumnRenamed("ord", "file")
 
 
 def draft(spark: SparkSession, path: str, collection: str, title: str = "Draft", kind: str = "draft", date: str | None = None, author: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
