@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, and neighbours.
-BLOCK, NEIGHBOURS = 2048, 12
+#: Vectors of a block, blocks of a part that all blocks visit, and neighbours.
+BLOCK, BLOCKS, NEIGHBOURS = 2048, 4, 12
 
 
 def blocks_of(vectors: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def blocks_of(vectors: DataFrame) -> DataFrame:
 def knn_graph(vectors: DataFrame, k: int = NEIGHBOURS, digits: int = 9) -> DataFrame:
     """(src, dst, rank, cosine): the exact k nearest others by cosine, ties at ``digits`` decimals to the smaller id.
 
-    Blocks meet blocks; a pair of blocks leaves k rows per vector, of which a window keeps the best.
+    Blocks meet blocks; a pair of blocks leaves k rows per vector, of which a window keeps the best. There are as many
+    parts as there are rows for, so that a part holds some BLOCKS blocks at any size.
     """
-    b = blocks_of(vectors).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(32)).cast("int"))
-    left = b.select(F.col("ids").alias("a_ids"), F.col("x").alias("a"), "width", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("part"))
+    parts = -(-vectors.count() // (BLOCK * BLOCKS)) or 1
+    b = blocks_of(vectors).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    left = b.select(F.col("ids").alias("a_ids"), F.col("x").alias("a"), "width", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,15 +114,21 @@ def layout(vectors: DataFrame, dims: int) -> DataFrame:
     return v.select("vec_id", F.array(*(F.round(dot(axes[:, j]), 4) for j in range(axes.shape[1]))).alias("p"))
 
 
-def map_tables(terms: DataFrame, sources: DataFrame, provenance: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def map_tables(terms: DataFrame, sources: DataFrame, provenance: DataFrame, vectors: DataFrame, neighbourhoods: bool = False) -> tuple[DataFrame, DataFrame]:
     """Points with coordinates and edges with their kind, as ``sources.tables.write_atlas`` takes them.
 
     terms, sources: slug, title, subtitle, url. provenance: term, doc. vectors: id, embedding; a point without a
-    vector is left out, and so is an edge without both its points.
+    vector is left out, and so is an edge without both its points. Places are on the principal axes, or keep neighbourhoods
+    (``layout.neighbour_layout``).
     """
     rows = point_rows(terms, "term", F.col("url")).unionByName(point_rows(sources, "source", F.col("url")))
     given = vectors.select(F.col("id").alias("vec_id"), "embedding")
-    for dims, names in ((3, ("x3", "y3", "z3")), (2, ("x2", "y2"))):
+    if neighbourhoods:
+        from corpusloom.operators.layout import neighbour_layout
+
+        places = neighbour_layout(given, (3, 2))
+        rows = rows.join(places.select(F.col("vec_id").alias("id"), *(F.get("p", i).alias(n) for i, n in enumerate(("x3", "y3", "z3", "x2", "y2")))), "id")
+    for dims, names in () if neighbourhoods else ((3, ("x3", "y3", "z3")), (2, ("x2", "y2"))):
         places = layout(given, dims).select(F.col("vec_id").alias("id"), *(F.get("p", i).alias(n) for i, n in enumerate(names)))
         rows = rows.join(places, "id")
     edges = provenance.select(F.concat(F.lit("term:"), "term").alias("source"), F.concat(F.lit("source:"), "doc").alias("target"), F.lit("discussed-in").alias("kind"))

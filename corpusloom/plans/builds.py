@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import atlas, corpus, search
+from corpusloom.operators import atlas, corpus, layout, search
 from corpusloom.operators.textindex import TextIndex
 from corpusloom.plans.catalogue import DOCS, MENTIONS, POINTS, TERM_MENTIONS, TERMS, _ranked, points, q_trim, query, sources, table, terms
 from corpusloom.sources import tables
@@ -125,3 +125,12 @@ def map_file_points(spark, sf):
 @query(f"WITH {POINTS} SELECT a.id AS source, b.id AS target, 'discussed-in' AS kind FROM pt a JOIN pt b ON b.ord = a.ord + 1")
 def map_file_edges(spark, sf):
     return map_file(spark, sf)[1]
+
+
+# -- the map's layout; a sampled descent has no SQL, tests/test_layout.py holds its parts to brute force
+
+
+@query()
+def atlas_layout_neighbours(spark, sf):
+    places = layout.neighbour_layout(table(spark, sf, "embeddings"))
+    return places.select("vec_id", *(F.col("p")[i].alias(n) for i, n in enumerate(("x2", "y2", "x3", "y3", "z3"))))
