@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import xref
-from corpusloom.sources.generations import Generation, Generations
+from corpusloom.sources.generations import Generation, Generations, plain_unions
 
 MOST_TERMS, MOST_DOCS = 12, 5
 
@@ -108,6 +108,11 @@ def all_of(old: Generation | None, name: str, empty: DataFrame) -> DataFrame:
 
 def build(store: Generations, terms: DataFrame, sources: DataFrame) -> Generation:
     """Publishes the generation of these records: a build from nothing if there is none yet, else an update of the current one."""
+    with plain_unions(store.spark):
+        return _build(store, terms, sources)
+
+
+def _build(store: Generations, terms: DataFrame, sources: DataFrame) -> Generation:
     old, draft = store.current(), store.draft()
     terms, sources = with_digest(terms), with_digest(sources)
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def plain_unions(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark takes no union for partitioned as its parts are.
+
+    Spark 4.1 plans a join without an exchange above a union whose parts are partitioned alike, and when it plans again at
+    run time the union may have the partitions of all parts instead: the join can't zip them, and the job fails.
+    """
+    key = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @dataclass
 class Generation:
     """Tables by name; each a list of layers {rows: folder, schema: DDL, withdrawn: {column: folder}}, the oldest first."""
